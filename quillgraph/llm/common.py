@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -123,6 +124,13 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     lanes = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
     size = ends - starts
+    giant = np.flatnonzero(size > 4096)  # one by one, instead of a numpy pass for every eight bytes of the longest
+    if len(giant):
+        rest = np.flatnonzero(size <= 4096)
+        h = np.empty(len(size), np.uint64)
+        h[rest] = span_hashes(raw, starts[rest], ends[rest], seed)
+        h[giant] = [xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b in zip(starts[giant], ends[giant], strict=True)]
+        return h
     h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
     live, k = None, 0
     while True:
@@ -176,6 +184,15 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - before, lengths)
 
 
+def joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Spans joined by single spaces, and where each begins there (one more than spans)."""
+    size = ends - starts
+    to = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(int(to[-1]), 32, np.uint8)
+    out[ragged(to[:-1], size)] = raw[ragged(starts, size)]
+    return out.tobytes(), to
+
+
 def per_text(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``counts`` (one per word) over each text's words."""
     total = np.concatenate([[0], np.cumsum(counts)])
