@@ -2,16 +2,454 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.functions import text as T
+from quillgraph.operators import chunking, entities, fusion, lexical, ranking, retrieve, vectors
+from quillgraph.operators import graph as G
+from quillgraph.operators import resolve as R
+from quillgraph.sources import adapters as A
+from quillgraph.sources import export
 
 FLAGSHIP = "hybrid_fusion"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            env = spark.sparkContext.environment
+            if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+                env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), ROOT]))
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# SQL that several queries share
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_CLEAN = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
+_TOKENS = r"list_filter(list_transform(regexp_extract_all(coalesce({0}, ''), '[a-zA-Z][a-zA-Z0-9_\-]{{1,}}'), lambda x: lower(x)), lambda x: x not in (" + _STOP + "))"
+_NAMES = r"list_filter(list_transform(regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_\-]+'), lambda t: regexp_extract(t, '^-*([A-Z][A-Za-z0-9_\-]*[A-Za-z0-9_])-*$', 1)), lambda x: x <> '')"
+_SIG = r"lower(trim(regexp_replace(regexp_replace(regexp_replace({0}, '(?i)\b(inc|incorporated|co|company|corp|corporation|limited|ltd|plc|llc)\b\.?', '', 'g'), '[^a-zA-Z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g')))"
+_KEY = "case when " + _SIG + " = '' then lower(" + _CLEAN + ") else " + _SIG + " end"
+_COLOUR = "case {0} " + " ".join(f"when '{k}' then '{v}'" for k, v in T.COLOURS.items()) + f" else '{T.DEFAULT_COLOUR}' end"
+_KIND = "case when {0} in (" + ", ".join(f"'{k}'" for k in T.COLOURS) + f") then {{0}} else '{T.DEFAULT_TYPE}' end"
+_ID = "'chunk_' || lpad({0}::varchar, greatest(4, length({0}::varchar))::int, '0')"
+
+_SENTENCES = (
+    "docs as (select doc_id, " + _CLEAN.format("text") + r" clean from documents), units as (select doc_id, list_filter(list_transform(string_split(regexp_replace(clean, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') s from docs)"
+)
+_CHUNKS = (
+    _SENTENCES
+    + """, each_s as (select doc_id, i, s[i + 1] txt from (select doc_id, s, unnest(range(0, len(s))) i from units)),
+placed as (select doc_id, i, length(txt) + 1 l, sum(length(txt) + 1) over (partition by doc_id order by i) - (length(txt) + 1) p from each_s),
+bounds as (select doc_id, i, p from placed union all select doc_id, max(i) + 1, sum(l) from placed group by doc_id),
+framed as (select doc_id, i, count(*) over (partition by doc_id order by p range between 1 following and 513 following) fit,
+  count(*) over (partition by doc_id order by p range between 65 preceding and 1 preceding) rew, max(i) over (partition by doc_id) n from bounds),
+steps as (select a.doc_id, a.i, a.n, least(a.n, a.i + greatest(1, a.fit)) e,
+  case when a.i + greatest(1, a.fit) >= a.n then a.n else greatest(a.i + 1, a.i + greatest(1, a.fit) - greatest(z.rew, 1)) end nx
+  from framed a left join framed z on z.doc_id = a.doc_id and z.i = a.i + greatest(1, a.fit) where a.i < a.n),
+walk as (select doc_id, 0 win, i, e, nx, n from steps where i = 0
+  union all select t.doc_id, w.win + 1, t.i, t.e, t.nx, t.n from walk w join steps t on t.doc_id = w.doc_id and t.i = w.nx where w.nx < w.n),
+chunks as (select w.doc_id, w.win, w.i first, w.e last, array_to_string(u.s[w.i + 1 : w.e], ' ') text, row_number() over (order by w.doc_id, w.win) - 1 chunk_ord from walk w join units u using (doc_id))"""
+)
+_MENTIONS = (
+    _CHUNKS
+    + ", named as (select chunk_ord, unnest(range(0, len(v))) ent_pos, unnest(v) txt from (select chunk_ord, "
+    + _NAMES.format("text")
+    + " v from chunks)), mentions as (select chunk_ord, min(ent_pos) ent_pos, arg_min(txt, ent_pos) txt from named group by chunk_ord, lower(trim(txt)))"
+)
+_KEYS = _MENTIONS + ", keyed as (select *, " + _KEY.format("txt") + " k from mentions), keys as (select chunk_ord, k, min(ent_pos) ent_pos, arg_min(txt, ent_pos) txt from keyed where k <> '' group by chunk_ord, k)"
+_BM25 = (
+    "toks as (select doc_id, "
+    + _TOKENS.format("text")
+    + " t from documents), stats as (select count(*) n, avg(greatest(len(t), 1)) avgdl from toks), post as (select token, doc_id, count(*) tf from (select doc_id, unnest(t) token from toks) group by all), terms as (select token, count(*) df, ln((any_value(n) + 1) / (count(*) + 1)) + 1 idf from post, stats group by token), q as (select query_id, pos, token from (select item_id query_id, unnest(range(0, len(t))) pos, unnest(t) token from (select item_id, "
+    + _TOKENS.format("text")
+    + " t from benchmark))), sums as (select query_id, doc_id, sum(idf * tf * 2.5 / greatest(tf + 1.5 * (0.25 + 0.75 * greatest(len(t), 1) / avgdl), 1e-9)) score, min(pos) pos from q join post using (token) join terms using (token) join toks using (doc_id), stats group by all), bm25 as (select query_id, doc_id chunk_ord, score, row_number() over (partition by query_id order by round(score, 9) desc, pos, doc_id) rank from sums qualify rank <= 5)"
+)
+_VECTOR = "pairs as (select a.vec_id query_id, b.vec_id chunk_ord, list_inner_product(a.embedding::double[], b.embedding::double[]) score from embeddings a, embeddings b where {0}), vec as (select query_id, chunk_ord, score, row_number() over (partition by query_id order by round(score, 9) desc, chunk_ord) rank from pairs qualify rank <= 5)"
+_FUSED = (
+    _BM25
+    + ", "
+    + _VECTOR.format("a.vec_id in (select item_id from benchmark)")
+    + """, hits as (select query_id, 'keyword' channel, chunk_ord, score from bm25 union all select query_id, 'vector', chunk_ord, score from vec),
+lim as (select *, min(score) over w lo, max(score) over w hi from hits window w as (partition by query_id, channel)),
+norm as (select *, case when hi = lo then case when hi > 0 then 1.0::double else 0.0::double end else (score - lo) / nullif(hi - lo, 0) end norm from lim),
+wide as (select query_id, chunk_ord, coalesce(max(norm) filter (channel = 'vector'), 0) vector, coalesce(max(norm) filter (channel = 'keyword'), 0) keyword, 0.0::double graph from norm group by all),
+fused as (select *, row_number() over (partition by query_id order by round(total, 9) desc, chunk_ord) rank from (select *, 0.5 * vector + 0.25 * keyword + 0.25 * graph total from wide where chunk_ord in (select doc_id from documents)) qualify rank <= 8)"""
+)
+_STAR = f"""raw_mentions as (
+  select n_nationkey::bigint chunk_ord, n_name a, 'GPE' al, r_name b, 'LOC' bl from nation join region on n_regionkey = r_regionkey
+  union all select c_custkey + {A.CUSTOMERS}, c_name, 'PERSON', n_name, 'DATE' from customer join nation on c_nationkey = n_nationkey
+  union all select s_suppkey + {A.SUPPLIERS}, s_name, 'ORG', n_name, 'GPE' from supplier join nation on s_nationkey = n_nationkey
+), sm as (select chunk_ord, 0 ent_pos, a txt, al label from raw_mentions union all select chunk_ord, 1, b, bl from raw_mentions
+), st as (
+  select n_nationkey::bigint triplet_ord, n_name subject, 'part of' predicate, r_name object, 'n' || n_nationkey chunk_id from nation join region on n_regionkey = r_regionkey
+  union all select s_suppkey + {A.CUSTOMERS}, s_name, 'operates in', n_name, 's' || (s_suppkey + {A.CUSTOMERS}) from supplier join nation on s_nationkey = n_nationkey
+  union all select s_suppkey + {A.SUPPLIERS}, upper(' ' || s_name), 'OPERATES IN', n_name, 't' || (s_suppkey + {A.SUPPLIERS}) from supplier join nation on s_nationkey = n_nationkey
+  union all select c_custkey + {2 * A.SUPPLIERS}, c_name, 'lives in', n_name, 'c' || (c_custkey + {2 * A.SUPPLIERS}) from customer join nation on c_nationkey = n_nationkey
+), dt as (select * from st qualify row_number() over (partition by lower(trim(subject)), lower(trim(predicate)), lower(trim(object)) order by triplet_ord) = 1
+), skey as (select *, {_KEY.format("txt")} k, {_KIND.format("label")} kind from sm
+), look as (select k, arg_max(kind, chunk_ord * 2 + ent_pos) entity_type from skey group by k
+), first_in as (select * from skey qualify row_number() over (partition by chunk_ord, k order by ent_pos) = 1
+), tkey as (select *, {_KEY.format("subject")} src, {_KEY.format("object")} dst from dt
+), nev as (
+  select 0 ph, chunk_ord o, ent_pos p, k, txt, kind, {_ID.format("chunk_ord")} chunk_id from first_in
+  union all select 1, triplet_ord, 0, src, subject, coalesce(entity_type, 'DEFAULT'), chunk_id from tkey left join look on k = src
+  union all select 1, triplet_ord, 1, dst, object, coalesce(entity_type, 'DEFAULT'), chunk_id from tkey left join look on k = dst
+), nodes as (
+  select k id, arg_min(txt, (ph, o, p)) as label, coalesce(arg_min(kind, (ph, o, p)) filter (kind <> 'DEFAULT'), 'DEFAULT') entity_type, count(distinct chunk_id) n_chunks, min((ph, o, p)) as seen from nev group by k
+), eev as (
+  select a.k src, b.k dst, 'co_occurs_with' predicate, 'cooccurrence' relation_type, 0 ph, a.chunk_ord o, {_ID.format("a.chunk_ord")} chunk_id from first_in a join first_in b on a.chunk_ord = b.chunk_ord and a.k <> b.k
+  union all select src, dst, trim(predicate), 'extracted_triplet', 1, triplet_ord, chunk_id from tkey where src <> dst
+), edges as (select src, dst, count(*) weight, arg_min(predicate, (ph, o)) predicate, count(distinct chunk_id) n_chunks from eev group by all
+), und as (select distinct least(src, dst) a, greatest(src, dst) b from edges
+), near as (select id, count(*) near from (select a id from und union all select b from und) group by id
+), deg as (select id, round(coalesce(near, 0) / ((select count(*) from nodes) - 1), 4) dc from nodes left join near using (id))"""
+
+
+def _with(ctes: str, body: str) -> str:
+    return f"with recursive {ctes} {body}"
+
+
+# text
+
+
+@query(f"select doc_id, {_CLEAN.format('text')} clean_text from documents")
+def clean_text(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("clean_text"))
+
+
+@query(f"select doc_id::bigint src_ord, 1 sec_ord, 'doc_' || doc_id || '.txt:section:1' source_ref, {_CLEAN.format('text')} section from documents where {_CLEAN.format('text')} <> ''")
+def sections_text(spark, sf_dir):
+    return chunking.sections(A.document_files(spark, sf_dir)).select("src_ord", "sec_ord", "source_ref", F.col("text").alias("section"))
+
+
+_MD = [(0, "kb/n.md", "\n# A\nx  y\n## B\n# C\n\nz"), (1, "kb/n.txt", "\n# A\nx  y\n## B\n# C\n\nz"), (2, "kb/plain.MD", "before\n\n  # one\n  two \n#three"), (3, "kb/empty.md", "\n \n")]
+
+
+@query(
+    "with f(src_ord, name, txt) as (values "
+    + ", ".join("({}, '{}', {})".format(o, n, " || chr(10) || ".join(f"'{x}'" for x in t.split("\n"))) for o, n, t in _MD)
+    + r"""), l as (select src_ord, name, unnest(range(1, len(v) + 1)) i, unnest(v) x from (select src_ord, name, list_filter(list_transform(string_split(txt, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') v from f)),
+s as (select *, sum(case when lower(name) like '%.md' and i > 1 and x like '#%' then 1 else 0 end) over (partition by src_ord order by i) g from l)
+select src_ord, (g + 1)::int sec_ord, split_part(name, '/', 2) || ':section:' || (g + 1)::int source_ref, string_agg(x, ' ' order by i) section from s group by src_ord, name, g"""
+)
+def sections_md(spark, sf_dir):
+    files = spark.createDataFrame(_MD, "src_ord int, name string, text string")
+    return chunking.sections(files).select("src_ord", "sec_ord", "source_ref", F.col("text").alias("section"))
+
+
+@query(_with(_SENTENCES, "select doc_id, unnest(range(0, len(s)))::int n, unnest(s) sentence from units"))
+def sentences(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(T.clean(F.col("text")))).alias("n", "sentence"))
+
+
+@query(_with(_CHUNKS, "select chunk_ord, " + _ID.format("chunk_ord") + " chunk_id, doc_id, win::int win, first::int first_sentence, last::int last_sentence, text chunk from chunks"))
+def chunks(spark, sf_dir):
+    return A.document_chunks(spark, sf_dir).select("chunk_ord", "chunk_id", F.col("src_ord").alias("doc_id"), F.col("win_ord").alias("win"), F.col("first").alias("first_sentence"), F.col("last").alias("last_sentence"), F.col("text").alias("chunk"))
+
+
+@query("select lower(trim(n)) folded, " + _SIG.format("n") + " signature, substr(split_part(" + _SIG.format("n") + ", ' ', 1), 1, 3) block, " + _KEY.format("n") + " node_key, count(*) n from (select c_name n from customer union all select s_name from supplier union all select p_name from part) group by all")
+def resolution_keys(spark, sf_dir):
+    t = lambda n, c: A.table(spark, sf_dir, n).select(F.col(c).alias("x"))
+    every = t("customer", "c_name").union(t("supplier", "s_name")).union(t("part", "p_name"))
+    sig = T.signature(F.col("x"))
+    return every.groupBy(T.fold(F.col("x")).alias("folded"), sig.alias("signature"), T.block(sig).alias("block"), T.canonical(F.col("x")).alias("node_key")).agg(F.count("*").alias("n"))
+
+
+# keyword and vector search
+
+
+@query(_with(_BM25, "select doc_id, token, tf from post"))
+def token_tf(spark, sf_dir):
+    return lexical.build_index(A.whole_documents(spark, sf_dir)).postings.select(F.col("chunk_ord").alias("doc_id"), "token", F.col("tf").cast("long").alias("tf"))
+
+
+@query(_with(_BM25, "select token, df, round(idf, 6) idf from terms"))
+def doc_freq_idf(spark, sf_dir):
+    return lexical.build_index(A.whole_documents(spark, sf_dir)).terms.select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(_with(_BM25, "select doc_id, greatest(len(t), 1)::bigint dl, n doc_count, round(avgdl, 6) avgdl from toks, stats"))
+def doc_lengths(spark, sf_dir):
+    index = lexical.build_index(A.whole_documents(spark, sf_dir))
+    return index.lengths.join(F.broadcast(index.stats), F.lit(True)).select(F.col("chunk_ord").alias("doc_id"), F.col("dl").cast("long").alias("dl"), "doc_count", F.round("avgdl", 6).alias("avgdl"))
+
+
+def _bm25(spark, sf_dir) -> DataFrame:
+    return lexical.search(A.questions(spark, sf_dir), lexical.build_index(A.whole_documents(spark, sf_dir)))
+
+
+@query(_with(_BM25, "select query_id, chunk_ord, round(score, 6) score, rank::int rank from bm25"))
+def bm25_topk(spark, sf_dir):
+    return _bm25(spark, sf_dir).select("query_id", "chunk_ord", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_with(_VECTOR.format("a.vec_id % 100 = 0"), "select query_id, chunk_ord, round(score, 6) score, rank::int rank from vec"))
+def vector_topk(spark, sf_dir):
+    """The searches' stated query set: vectors whose id is divisible by 100, against all."""
+    every = A.vectors(spark, sf_dir)
+    asked = every.where("chunk_ord % 100 = 0").withColumnRenamed("chunk_ord", "query_id")
+    return vectors.search(asked, every).select("query_id", "chunk_ord", F.round("score", 6).alias("score"), "rank")
+
+
+# fusion
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    near = vectors.search(A.question_vectors(spark, sf_dir), A.vectors(spark, sf_dir))
+    return fusion.channel(_bm25(spark, sf_dir), "keyword").union(fusion.channel(near, "vector"))
+
+
+def _fused(spark, sf_dir) -> DataFrame:
+    return fusion.fuse(_hits(spark, sf_dir), A.whole_documents(spark, sf_dir))
+
+
+@query(_with(_FUSED, "select query_id, channel, chunk_ord, round(score, 6) score, round(norm, 6) norm from norm"))
+def minmax_scores(spark, sf_dir):
+    return fusion.minmax(_hits(spark, sf_dir)).select("query_id", "channel", "chunk_ord", F.round("score", 6).alias("score"), F.round("norm", 6).alias("norm"))
+
+
+@query(_with(_FUSED, "select query_id, chunk_ord, round(vector, 6) vector, round(keyword, 6) keyword, round(graph, 6) graph, round(total, 6) total, rank::int rank from fused"))
+def hybrid_fusion(spark, sf_dir):
+    return _fused(spark, sf_dir).select("query_id", "chunk_ord", *(F.round(c, 6).alias(c) for c in ("vector", "keyword", "graph", "total")), "rank")
+
+
+@query(_with(_FUSED, "select query_id, count(*) n_chunks, string_agg('[Context ' || rank || ' | ' || " + _ID.format("chunk_ord") + " || ' | score=' || printf('%.3f', total) || ']' || chr(10) || text, chr(10) || chr(10) order by rank) context from fused join documents on doc_id = chunk_ord group by query_id"))
+def context_blocks(spark, sf_dir):
+    return fusion.contexts(_fused(spark, sf_dir), A.whole_documents(spark, sf_dir))
+
+
+# entities and graph
+
+
+@query(_with(_MENTIONS, "select chunk_ord, ent_pos::int ent_pos, txt mention from mentions"))
+def mentions_regex(spark, sf_dir):
+    return A.document_mentions(spark, sf_dir).select("chunk_ord", "ent_pos", F.col("text").alias("mention"))
+
+
+@query(
+    _with(
+        _KEYS,
+        "select k id, arg_min(txt, (chunk_ord, ent_pos)) as label, 'DEFAULT' entity_type, '" + T.DEFAULT_COLOUR + "' color, count(*) n_chunks, string_agg(" + _ID.format("chunk_ord") + ", ',' order by chunk_ord) chunk_ids from keys group by k",
+    )
+)
+def graph_nodes(spark, sf_dir):
+    nodes = G.build_graph(A.document_mentions(spark, sf_dir), None).nodes
+    return nodes.select("id", "label", "entity_type", "color", F.size("chunk_ids").cast("long").alias("n_chunks"), F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+@query(_with(_KEYS, "select a.k src, b.k dst, 'co_occurs_with' predicate, count(*) weight, " + _ID.format("min(a.chunk_ord)") + " first_chunk from keys a join keys b on a.chunk_ord = b.chunk_ord and a.k <> b.k group by all"))
+def cooc_edges(spark, sf_dir):
+    edges = G.build_graph(A.document_mentions(spark, sf_dir), None).edges
+    return edges.select("src", "dst", "predicate", "weight", F.get("chunk_ids", F.lit(0)).alias("first_chunk"))
+
+
+def _triplets(spark, sf_dir) -> DataFrame:
+    return entities.dedup_triplets(A.star_triplets(spark, sf_dir))
+
+
+def _star(spark, sf_dir) -> G.Graph:
+    return G.build_graph(A.star_mentions(spark, sf_dir), _triplets(spark, sf_dir))
+
+
+@query(_with(_STAR, "select triplet_ord, subject, predicate, object, chunk_id from dt"))
+def triplet_dedup(spark, sf_dir):
+    return _triplets(spark, sf_dir)
+
+
+@query(_with(_STAR, "select src, dst, trim(arg_min(predicate, triplet_ord)) predicate, count(*) weight, 'extracted_triplet' relation_types from tkey where src <> dst group by src, dst"))
+def triplet_edges(spark, sf_dir):
+    edges = G.build_graph(None, _triplets(spark, sf_dir)).edges
+    return edges.select("src", "dst", "predicate", "weight", F.array_join("relation_types", ",").alias("relation_types"))
+
+
+@query(_with(_STAR, f"select k id, entity_type, {_COLOUR.format('entity_type')} color from look"))
+def entity_types(spark, sf_dir):
+    found = G.type_lookup(G.keyed_mentions(A.star_mentions(spark, sf_dir)))
+    return found.select(F.col("key").alias("id"), "entity_type", T.colour(F.col("entity_type")).alias("color"))
+
+
+@query(_with(_STAR, f"select id, label, entity_type, {_COLOUR.format('entity_type')} color, n_chunks, row_number() over (order by seen) node_ord from nodes"))
+def star_nodes(spark, sf_dir):
+    nodes = G.number_nodes(_star(spark, sf_dir).nodes)
+    return nodes.select("id", "label", "entity_type", "color", F.size("chunk_ids").cast("long").alias("n_chunks"), "node_ord")
+
+
+@query(_with(_STAR, "select src, dst, predicate, weight, n_chunks from edges"))
+def star_edges(spark, sf_dir):
+    return _star(spark, sf_dir).edges.select("src", "dst", "predicate", "weight", F.size("chunk_ids").cast("long").alias("n_chunks"))
+
+
+@query(_with(_STAR, "select id, dc degree_centrality from deg"))
+def degree_centrality(spark, sf_dir):
+    return G.degrees(_star(spark, sf_dir)).select("id", "degree_centrality")
+
+
+@query(_with(_STAR, "select id, (select count(*) from edges where dst = id) in_degree, (select count(*) from edges where src = id) out_degree from nodes"))
+def in_out_degree(spark, sf_dir):
+    return G.degrees(_star(spark, sf_dir)).select("id", "in_degree", "out_degree")
+
+
+_BFS = (
+    _STAR
+    + ", both_ways as (select src frm, dst id from edges union select dst, src from edges), h0 as (select lower(r_name) seed, lower(r_name) id from region), h1 as (select distinct seed, b.id from h0 join both_ways b on frm = h0.id where (seed, b.id) not in (select (seed, id) from h0)), h2 as (select distinct seed, b.id from h1 join both_ways b on frm = h1.id where (seed, b.id) not in (select (seed, id) from h0 union all select (seed, id) from h1)), bfs as (select *, 0 hop from h0 union all select *, 1 from h1 union all select *, 2 from h2)"
+)
+
+
+def _bfs(spark, sf_dir) -> tuple[DataFrame, G.Graph]:
+    graph = _star(spark, sf_dir)
+    return G.traverse(A.table(spark, sf_dir, "region").select(T.node_key(F.col("r_name")).alias("seed")), graph.edges), graph
+
+
+@query(_with(_BFS, "select seed, id, hop from bfs"))
+def bfs_2hop(spark, sf_dir):
+    return _bfs(spark, sf_dir)[0]
+
+
+@query(_with(_BFS, "select distinct seed, chunk_id from bfs join nev on k = id"))
+def bfs_chunks(spark, sf_dir):
+    found, graph = _bfs(spark, sf_dir)
+    return G.chunks_of(found, graph.nodes)
+
+
+_ROUNDS = 4
+_PR = _STAR + ", m as (select count(*) n from nodes), ow as (select src, sum(weight) w from edges group by src), sh as (select src, dst, weight / w share from edges join ow using (src)), sink as (select id from nodes where id not in (select src from ow)), p0 as (select id, 1.0::double / n pr from nodes, m)"
+for _k in range(_ROUNDS):
+    _PR += f", p{_k + 1} as (select id, 0.15 / n + 0.85 * (coalesce(s, 0) + lost / n) pr from nodes left join (select dst id, sum(share * pr) s from sh join p{_k} on p{_k}.id = src group by dst) using (id), m, (select coalesce(sum(pr), 0) lost from p{_k} where id in (select id from sink)))"
+
+
+@query(_with(_PR, f"select id, round(pr, 9) pr from p{_ROUNDS}"))
+def pagerank_fixed_iter(spark, sf_dir):
+    graph = _star(spark, sf_dir)
+    return ranking.pagerank(graph.nodes, graph.edges, _ROUNDS, None).select("id", F.round("pr", 9).alias("pr"))
+
+
+@query()
+def pagerank(spark, sf_dir):
+    graph = _star(spark, sf_dir)
+    return ranking.pagerank(graph.nodes, graph.edges).select("id", F.round("pr", 9).alias("pr"))
+
+
+@query()
+def betweenness(spark, sf_dir):
+    graph = _star(spark, sf_dir)
+    return ranking.betweenness(graph.nodes, graph.edges)
+
+
+@query()
+def hubs(spark, sf_dir):
+    graph = _star(spark, sf_dir)
+    nodes = G.number_nodes(graph.nodes).join(ranking.betweenness(graph.nodes, graph.edges), "id")
+    return G.hubs(nodes).select("id", "label", "betweenness_centrality")
+
+
+@query()
+def resolve_fuzzy(spark, sf_dir):
+    ord_ = (F.col("chunk_ord") * 100_000 + F.col("ent_pos")).cast("long")
+    return R.resolve(A.document_mentions(spark, sf_dir).select(ord_.alias("ord"), "text"))
+
+
+# graph retrieval
+
+_ASK = "select n_nationkey::bigint query_id, 'Trade with ' || n_name || ' and its suppliers' txt from nation"
+_MATCH = (
+    _STAR
+    + ", qn as (select query_id, unnest(range(0, len(v)))::int pos, lower(unnest(v)) q from (select query_id, list_distinct_keep v from (select query_id, list_reduce(list_transform("
+    + _NAMES.format("txt")
+    + f", lambda x: [x]), lambda a, b: case when list_contains(a, b[1]) then a else list_concat(a, b) end) list_distinct_keep from ({_ASK})))), ex as (select query_id, pos, id from qn join nodes on id = q), lo as (select distinct q from qn where q not in (select id from nodes)), nr as (select q, arg_min(id, seen) id from lo join nodes on contains(id, q) or contains(q, id) group by q), mt as (select query_id, id, min(pos) pos from (select * from ex union all select query_id, pos, id from qn join nr using (q)) group by query_id, id)"
+)
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    text = F.concat(F.lit("Trade with "), F.col("n_name"), F.lit(" and its suppliers"))
+    return A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), text.alias("text"))
+
+
+@query(_with(_MATCH, "select query_id, id, pos from mt"))
+def node_match(spark, sf_dir):
+    return retrieve.match_nodes(entities.query_names(_asked(spark, sf_dir)), _star(spark, sf_dir).nodes)
+
+
+@query(
+    _with(
+        _MATCH,
+        """, bw as (select src frm, dst id from edges union select dst, src from edges), s0 as (select distinct id seed, id from mt), s1 as (select distinct seed, bw.id from s0 join bw on frm = s0.id), s2 as (select distinct seed, bw.id from s1 join bw on frm = s1.id), reach as (select * from s0 union select * from s1 union select * from s2),
+cr as (select seed, chunk_id, sum(1 + 1.0::double / (select count(*) from nodes) + dc) w from reach join deg using (id) join (select distinct k, chunk_id from nev) on k = id group by all)
+select query_id, chunk_id, round(sum(w), 6) score from mt join cr on seed = id group by all""",
+    )
+)
+def graph_retrieval(spark, sf_dir):
+    """Graph evidence with equal ranks for all nodes."""
+    asked, graph = _asked(spark, sf_dir), _star(spark, sf_dir)
+    n = graph.nodes.agg(F.count("*").alias("n"))
+    ranks = graph.nodes.select("id").join(F.broadcast(n), F.lit(True)).select("id", (1.0 / F.col("n")).alias("pr"))
+    matches = retrieve.match_nodes(entities.query_names(asked), graph.nodes)
+    found = retrieve.graph_hits(matches, graph, ranks, G.degrees(graph))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+# export
+
+
+@query(_with(_STAR, "select id, label, entity_type etype, 0.0::double btw, dc deg from nodes join deg using (id)"))
+def export_nodes(spark, sf_dir):
+    graph = _star(spark, sf_dir)
+    return export.export_nodes(graph.nodes.join(G.degrees(graph), "id"))
+
+
+@query(_with(_STAR, "select src, dst, predicate pred, weight w from edges"))
+def export_edges(spark, sf_dir):
+    graph = _star(spark, sf_dir)
+    return export.export_edges(graph.edges, graph.nodes)
+
+
+# triplets from parsed tokens
+
+_PARSED = [
+    (0, 0, [("Big", "big", "ADJ", "amod", 1), ("Corp", "Corp", "PROPN", "nsubj", 2), ("bought", "buy", "VERB", "ROOT", 2), ("two", "two", "NUM", "nummod", 4), ("startups", "startup", "NOUN", "dobj", 2)]),
+    (0, 1, [("Routers", "router", "NOUN", "nsubj", 1), ("run", "run", "VERB", "ROOT", 1), ("on", "on", "ADP", "prep", 1), ("fast", "fast", "ADJ", "amod", 5), ("edge", "edge", "NOUN", "compound", 5), ("nodes", "node", "NOUN", "pobj", 2)]),
+    (1, 0, [("Anna", "Anna", "PROPN", "nsubj", 1), ("is", "be", "AUX", "ROOT", 1), ("anna", "anna", "NOUN", "attr", 1)]),
+    (1, 1, [("A", "a", "DET", "det", 1), ("list", "list", "NOUN", "ROOT", 1), ("of", "of", "ADP", "prep", 1), ("names", "name", "NOUN", "pobj", 2)]),
+    (1, 2, [("Sales", "sale", "NOUN", "nsubj", 3), ("and", "and", "CCONJ", "cc", 0), ("costs", "cost", "NOUN", "nsubj", 3), ("hit", "hit", "VERB", "ROOT", 3), ("record", "record", "NOUN", "compound", 6), ("new", "new", "ADJ", "amod", 4), ("highs", "high", "NOUN", "dobj", 3)]),
+]
+_TOKEN_ROWS = [(c, s, i, *t) for c, s, ts in _PARSED for i, t in enumerate(ts)]
+
+
+@query(
+    "with recursive tok(chunk_ord, sent_id, i, txt, lemma, pos, dep, head_i) as (values "
+    + ", ".join(str(r) for r in _TOKEN_ROWS)
+    + """), up as (select chunk_ord, sent_id, head_i top, i low from tok where head_i <> i union select u.chunk_ord, u.sent_id, t.head_i, u.low from up u join tok t on t.chunk_ord = u.chunk_ord and t.sent_id = u.sent_id and t.i = u.top and t.head_i <> t.i),
+sp as (select chunk_ord, sent_id, i, string_agg(txt, ' ' order by low) span from (select chunk_ord, sent_id, i, i low, txt from tok union all select u.chunk_ord, u.sent_id, top, low, txt from up u join tok t on t.chunk_ord = u.chunk_ord and t.sent_id = u.sent_id and t.i = low where dep in ('amod', 'compound', 'nummod')) group by all),
+rt as (select chunk_ord, sent_id, min(i) i, arg_min(lemma, i) lemma from tok where dep = 'ROOT' and pos in ('VERB', 'AUX') group by all)
+select r.chunk_ord::bigint chunk_ord, r.sent_id, a.span subject, r.lemma predicate, b.span object from rt r
+join tok s on s.chunk_ord = r.chunk_ord and s.sent_id = r.sent_id and s.head_i = r.i and s.dep in ('nsubj', 'nsubjpass', 'csubj')
+join tok o on o.chunk_ord = r.chunk_ord and o.sent_id = r.sent_id and o.dep in ('dobj', 'pobj', 'attr', 'oprd', 'dative')
+join tok h on h.chunk_ord = r.chunk_ord and h.sent_id = r.sent_id and h.i = o.head_i and (o.head_i = r.i or h.head_i = r.i)
+join sp a on a.chunk_ord = r.chunk_ord and a.sent_id = r.sent_id and a.i = s.i join sp b on b.chunk_ord = r.chunk_ord and b.sent_id = r.sent_id and b.i = o.i where lower(a.span) <> lower(b.span)"""
+)
+def token_triplets(spark, sf_dir):
+    tokens = spark.createDataFrame(_TOKEN_ROWS, "chunk_ord long, sent_id int, i int, text string, lemma string, pos string, dep string, head_i int")
+    return entities.triplets(tokens).select("chunk_ord", "sent_id", "subject", "predicate", "object")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
