@@ -35,7 +35,7 @@ def with_counts(docs: DataFrame, keep: list[str] | None = None, text: str = "tex
                 c = counts(*utf8(column(part, "_q_text")))
                 w, n = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
                 own = [pa.array(c[k].astype(np.int64)) for k in BASE] + [pa.array(c["base_failed"])]
-                own += [pa.array(x) for x in (c["n_symbols"] / n, c["n_dup_lines"] / np.maximum(c["n_lines"], 1), c["n_repeat_words"] / w, c["word_chars"] / w)]
+                own += [pa.array(x) for x in (c["n_symbols"] / n, c["n_dup_lines"] / (c["n_lines"] + 4), c["n_repeat_words"] / w, c["word_chars"] / w)]
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(fields))] + own, names=[f.name for f in fields] + [f.name for f in _FIELDS])
 
     return plain.mapInArrow(run, T.StructType(fields + _FIELDS))
@@ -110,7 +110,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     Base: fewer than 50 words, or over half of the words in three-word windows
     that the text repeats. The others are judged by four ratios (symbols to word
-    characters, repeated lines, repeated words, word length), whose cutoffs are
+    characters, repeated lines to all lines and four more, repeated words, word
+    length), whose cutoffs are
     read off quantile sketches of their language and source: above
     ``median + 4 (median - 10th percentile) + floor`` a document goes. Fences rest
     on the lower half, so junk moves none while it is under half of a group.
