@@ -366,7 +366,7 @@ def resolve_fuzzy(spark, sf_dir):
 
 # graph retrieval
 
-_ASK = "select n_nationkey::bigint query_id, 'Trade with ' || n_name || ' and its suppliers' txt from nation"
+_ASK = "select n_nationkey::bigint query_id, 'Trade of Customer and Nation with ' || r_name txt from nation join region on n_regionkey = r_regionkey"
 _MATCH = (
     _STAR
     + ", qn as (select query_id, unnest(range(0, len(v)))::int pos, lower(unnest(v)) q from (select query_id, list_distinct_keep v from (select query_id, list_reduce(list_transform("
@@ -376,8 +376,9 @@ _MATCH = (
 
 
 def _asked(spark, sf_dir) -> DataFrame:
-    text = F.concat(F.lit("Trade with "), F.col("n_name"), F.lit(" and its suppliers"))
-    return A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), text.alias("text"))
+    text = F.concat(F.lit("Trade of Customer and Nation with "), F.col("r_name"))
+    nation, region = A.table(spark, sf_dir, "nation"), A.table(spark, sf_dir, "region")
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_nationkey").cast("long").alias("query_id"), text.alias("text"))
 
 
 @query(_with(_MATCH, "select query_id, id, pos from mt"))
