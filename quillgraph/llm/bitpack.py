@@ -13,8 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, new_folder, prepare, slices, tasks
-from .wordbpe import load, with_end
+from .common import column, mapped, new_folder, prepare, slices, tasks
+from .wordbpe import SLICE_BYTES, load, with_end
 
 MAGIC = b"QGIDS01\n"
 #: Ids of a block; a multiple of eight, so that every block begins at a whole byte.
@@ -120,9 +120,9 @@ def _open(path: str):
 
 def _write(batches, tokenizer: str, end: int, folder: str):
     """One file for a sorted partition. Each attempt has a file of its own, named in the row that it returns."""
-    bpe, task, out, files, path, low = load(tokenizer), TaskContext.get(), None, None, "", None
+    bpe, task, out, path = load(tokenizer), TaskContext.get(), None, ""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, "text", SLICE_BYTES):
             if not part.num_rows:
                 continue
             if out is None:
@@ -148,7 +148,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int = 1, folder: str | None
     spark = prepare(docs.sparkSession)
     folder = folder or new_folder(spark, "ids")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(tasks(spark), "doc_id").sortWithinPartitions("doc_id")
-    rows = sorted(dealt.mapInArrow(lambda b: _write(b, tokenizer, end, folder), "part int, path string, n_docs long, n_ids long").collect())
+    rows = sorted(mapped(dealt, lambda b: _write(b, tokenizer, end, folder), "part int, path string, n_docs long, n_ids long").collect())
     before, out = 0, []
     for _, path, n_docs, n_ids in rows:
         out.append((path, n_docs, before))

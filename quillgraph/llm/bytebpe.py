@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, prepare, slices
+from .common import column, mapped, prepare, slices
 
 #: Characters, and bytes of one piece, that the library encodes in one go; longer ones are halved.
 LEAF_CHARS, LEAF_BYTES = 2048, 256
@@ -168,4 +168,4 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(all_, pa.list_(pa.int32()))] * ids, names=names)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    return mapped(plain, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, prepare, slices, utf8
+from .common import column, cut, mapped, prepare, slices, utf8
 from .textstats import FEATURES, counts, features
 
 #: Labelled documents that one model is fitted on: those with the least hashes of their ids, if there are more.
@@ -45,8 +45,10 @@ class Gam:
 
     @staticmethod
     def _cuts(x: np.ndarray, n: int) -> np.ndarray:
+        if not len(x):
+            return np.zeros(0)
         at = np.unique(np.quantile(x, np.linspace(0, 1, n + 1)[1:-1], method="lower"))
-        return at[at < x.max()] if len(x) else at
+        return at[at < x.max()]
 
     def _tree(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The best two splits of a row of bins; values by Newton steps with a ridge."""
@@ -163,7 +165,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), flat], names=["doc_id", "x"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, x array<double>")
+    return mapped(plain, run, "doc_id long, x array<double>")
 
 
 def held_out() -> F.Column:

@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, prepare, slices
-from .wordbpe import load, with_end
+from .common import column, cut, mapped, prepare, slices
+from .wordbpe import SLICE_BYTES, load, with_end
 
 #: A sequence with at most one in so many places free is emitted; an emptier one is packed again with others.
 NEARLY = 64
@@ -68,7 +68,7 @@ def _pieces(batches, tokenizer: str, end: int, capacity: int):
         base += len(doc_id)
 
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, "text", SLICE_BYTES):
             ids, first = with_end(*bpe.ids(column(part, "text")), end)
             count = -(-(first[1:] - first[:-1]) // capacity)
             of = np.repeat(np.arange(len(count)), count)
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048, ca
     prepare(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, fill long"
-    pieces = cut(plain.mapInArrow(lambda b: _pieces(b, tokenizer, end, capacity), schema))
+    pieces = cut(mapped(plain, lambda b: _pieces(b, tokenizer, end, capacity), schema))
     loose = pieces.where((F.col("at") == 0) & (F.lit(capacity) - F.col("fill") > capacity // NEARLY))
     level = loose.select(F.col("bin").alias("base"), F.col("bin").alias("now"), F.lit(0).cast("long").alias("at"), "fill", F.shiftright("bin", 40).alias("part"))
     width, moved = loose.agg(F.max(F.shiftright("bin", 40))).first()[0], []

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, cut, prepare, slices, utf8
+from .common import column, cut, mapped, prepare, slices, utf8
 from .textstats import counts
 
 #: What is judged: for each, how far beyond the median's lower half its upper fence lies at least.
@@ -17,6 +17,8 @@ FLOORS = {"symbols": 0.03, "dup_lines": 0.3, "repeats": 0.3, "word_len": 3.0}
 REACH = 4.0
 #: Documents that a language and source need for fences of their own; below, the language's, then all documents'.
 ENOUGH = 200
+#: Groups whose fences are broadcast: a row of some 100 bytes each.
+SENT = 50_000
 #: Relative accuracy of a sketch, and the values from which it tells values apart.
 ACCURACY, LEAST, MOST = 0.01, 1e-4, 1e4
 _GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
@@ -38,7 +40,7 @@ def with_counts(docs: DataFrame, keep: list[str] | None = None, text: str = "tex
                 own += [pa.array(x) for x in (c["n_symbols"] / n, c["n_dup_lines"] / (c["n_lines"] + 4), c["n_repeat_words"] / w, c["word_chars"] / w)]
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(fields))] + own, names=[f.name for f in fields] + [f.name for f in _FIELDS])
 
-    return plain.mapInArrow(run, T.StructType(fields + _FIELDS))
+    return mapped(plain, run, T.StructType(fields + _FIELDS))
 
 
 def _bucket(x: Column) -> Column:
@@ -100,9 +102,14 @@ def _verdict() -> Column:
 
 
 def judge(measured: DataFrame, sketch: DataFrame) -> DataFrame:
-    """``measured`` (of ``with_counts``) with ``kept``: within the base rules and the fences of its language and source."""
-    keyed = _keyed(measured)
-    return keyed.join(fences(sketch), ["_q_lang", "_q_source"], "left").withColumn("kept", _verdict())
+    """``measured`` (of ``with_counts``) with ``kept``: within the base rules and the fences of its language and source.
+
+    Up to ``SENT`` groups' fences are sent to the tasks, so no text moves; more
+    are joined by a shuffle.
+    """
+    keyed, marks = _keyed(measured), cut(fences(sketch))
+    marks = F.broadcast(marks) if marks.count() <= SENT else marks
+    return keyed.join(marks, ["_q_lang", "_q_source"], "left").withColumn("kept", _verdict())
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -111,8 +118,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Base: fewer than 50 words, or over half of the words in three-word windows
     that the text repeats. The others are judged by four ratios (symbols to word
     characters, repeated lines to all lines and four more, repeated words, word
-    length), whose cutoffs are
-    read off quantile sketches of their language and source: above
+    length), whose cutoffs are read off quantile sketches of their language and source: above
     ``median + 4 (median - 10th percentile) + floor`` a document goes. Fences rest
     on the lower half, so junk moves none while it is under half of a group.
     Null texts are empty and so fail the base; null languages and sources are

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, prepare, slices, utf8
+from .common import column, mapped, prepare, slices, utf8
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -68,7 +68,7 @@ def guess_cost(value: str, most: float = math.inf) -> float:
     n, brute = len(value), math.log10(_alphabet(value))
     low, plain = value.lower(), value.lower().translate(_LEET)
     best = [0.0] + [math.inf] * n
-    walk = same = 0  # where the run of keys or letters, and of one character, began
+    keys = letters = same = 0  # where the run of neighbouring keys, of the alphabet, and of one character, began
     step = 0
 
     def reach(end: int, start: int, cost: float) -> None:
@@ -80,16 +80,17 @@ def guess_cost(value: str, most: float = math.inf) -> float:
             if value[i] != value[i - 1]:
                 same = i
             delta = ord(low[i]) - ord(low[i - 1])
-            if abs(delta) == 1 and low[i].isalnum():
-                walk, step = (walk if step in (0, delta) else i - 1), delta
-            elif _near(value[i], value[i - 1]):
-                walk, step = (walk if step in (0, 9) else i - 1), 9
-            else:
-                walk, step = i, 0
+            if abs(delta) != 1 or not low[i].isalnum():
+                letters, step = i, 0
+            elif delta != step:
+                letters, step = i - 1, delta
+            if not _near(value[i], value[i - 1]):
+                keys = i
         if i - same >= 2:
             reach(i + 1, same, brute + math.log10(i + 1 - same))
-        if i - walk >= 2:
-            reach(i + 1, walk, math.log10(47 * 4 * (i + 1 - walk)))
+        for start in (keys, letters):
+            if i - start >= 2:
+                reach(i + 1, start, math.log10(47 * 4 * (i + 1 - start)))
         for start in range(max(0, i + 1 - _LONGEST_WORD), i):
             for text, extra in ((low, 0.0), (plain, 0.5)):
                 rank = _RANK.get(text[start : i + 1])
@@ -183,7 +184,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    return mapped(plain, run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -213,6 +214,6 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     out = docs.withColumn("_before", F.hash("text")) if "n_chars" in schema.fieldNames() else docs
     if out is docs:
-        return docs.mapInArrow(run, schema)
-    again = out.mapInArrow(run, out.schema)
+        return mapped(docs, run, schema)
+    again = mapped(out, run, out.schema)
     return again.withColumn("n_chars", F.when(F.hash("text") == F.col("_before"), F.col("n_chars")).otherwise(F.length("text").cast(schema["n_chars"].dataType))).drop("_before")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, slices, tasks, utf8, words
+from .common import column, cut, mapped, slices, tasks, utf8, words
 from .components import connected_components
 
 #: Bytes of a fingerprint, bits that linked fingerprints may differ in, and so the bytes that must agree.
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", key: str =
                 yield pa.RecordBatch.from_arrays([column(part, "key"), pa.array(fp.view(np.int64))], names=["key", "fp"])
 
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return plain.mapInArrow(run, "key long, fp long").withColumnRenamed("key", key)
+    return mapped(plain, run, "key long, fp long").withColumnRenamed("key", key)
 
 
 def _entries(batches):

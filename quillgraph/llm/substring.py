@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, joined, new_folder, prepare, ragged, slices, span_hashes, tasks, utf8, window_hashes, words
+from .common import column, joined, mapped, new_folder, prepare, ragged, slices, span_hashes, tasks, utf8, window_hashes, words
 
 #: Words of the sampled grams whose least hash stands for a window in the sketch.
 GRAM = 16
@@ -76,10 +76,12 @@ def _sketch(batches, width: int, bits: int):
             if not len(at):
                 continue
             sample = window_samples(span_hashes(raw, starts, ends, 1), width)[at]
-            # neighbours mostly share a sample: one for each run in a text
-            new = np.concatenate([[True], (sample[1:] != sample[:-1]) | (text[1:] != text[:-1])])
-            held.append(sample[new])
-            n += int(new.sum())
+            # neighbours mostly share a sample: one for each run in a text, but all of a run that is longer
+            # than a gram's reach, where few windows take turns
+            new = np.flatnonzero(np.concatenate([[True], (sample[1:] != sample[:-1]) | (text[1:] != text[:-1])]))
+            run = np.diff(np.append(new, len(sample)))
+            held.append(np.repeat(sample[new], np.where(run > width - min(GRAM, width) + 1, run, 1)))
+            n += len(held[-1])
             if n > 4_000_000:
                 yield from flush()
                 held, n = [], 0
@@ -111,7 +113,7 @@ def _frequent(docs: DataFrame, width: int, hot: int, bits: int | None) -> tuple[
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         # about one sample for 100 bytes of text
         bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(8 * total / 100 + 1))))
-    parts = docs.select("text").mapInArrow(lambda b: _sketch(b, width, bits), "row int, block int, cells binary")
+    parts = mapped(docs.select("text"), lambda b: _sketch(b, width, bits), "row int, block int, cells binary")
     merged = parts.repartition(tasks(docs.sparkSession), "row", "block").sortWithinPartitions("row", "block").mapInArrow(lambda b: _merge(b, bits, hot), "row int, block int, bits binary, hot binary")
     rows = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2 * len(_ROWS))]
     for r in merged.collect():  # bounded: at most 4 x 2**MOST_BITS bits
@@ -121,8 +123,8 @@ def _frequent(docs: DataFrame, width: int, hot: int, bits: int | None) -> tuple[
     return bits, [r.tobytes() for r in rows]
 
 
-def _candidates(batches, width: int, bits: int, sketch):
-    """Windows that the sketch holds to be repeated: a 96-bit hash of their words, and where they start."""
+def _candidates(batches, width: int, bits: int, sketch, hot_ones: bool):
+    """Windows that the sketch holds to be repeated, the hot ones or the others: a 96-bit hash of their words, and where they start."""
     rows = [np.frombuffer(r, np.uint8) for r in sketch.value]
     for batch in batches:
         for part in slices(batch):
@@ -137,19 +139,20 @@ def _candidates(batches, width: int, bits: int, sketch):
                 byte, bit = (cell >> np.uint64(3)).astype(np.int64), (cell & np.uint64(7)).astype(np.uint8)
                 keep &= (row[byte] >> bit) & 1 == 1
                 hot &= (warm[byte] >> bit) & 1 == 1
+            keep &= hot == hot_ones
             if not keep.any():
                 continue
-            at, text, hot = at[keep], text[keep], hot[keep]
+            at, text = at[keep], text[keep]
             a = window_hashes(h, width)[at]
             b = window_hashes(span_hashes(raw, starts, ends, 2), width, 0xE7037ED1A0B428DB)[at]
             # one row for a run of equal windows, which a word said over and over makes
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])]))
             n = np.diff(np.append(new, len(at))).astype(np.int32)
-            at, text, hot, a, b = at[new], text[new], hot[new], a[new], b[new]
+            at, text, a, b = at[new], text[new], a[new], b[new]
             key, print_ = column(part, "doc_id").to_numpy(zero_copy_only=False)[text], column(part, "text_id").to_numpy()[text]
             for i in range(0, len(at), 1 << 18):
                 j = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(a[j].view(np.int64)), pa.array((b[j] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(key[j].astype(np.int64)), pa.array(print_[j]), pa.array((at[j] - first[text[j]]).astype(np.int32)), pa.array(n[j]), pa.array(hot[j])], names=["h", "g", "doc_id", "text_id", "at", "n", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[j].view(np.int64)), pa.array((b[j] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(key[j].astype(np.int64)), pa.array(print_[j]), pa.array((at[j] - first[text[j]]).astype(np.int32)), pa.array(n[j])], names=["h", "g", "doc_id", "text_id", "at", "n"])
 
 
 def covered(n: int, at: np.ndarray, run: np.ndarray, width: int) -> np.ndarray:
@@ -176,6 +179,11 @@ def _apply(batches, width: int, texts: bool):
             yield pa.RecordBatch.from_arrays(out + [pa.array([x.decode() for x in kept], pa.string())] * texts, names=names)
 
 
+def _text_id() -> F.Column:
+    """Tells texts of one doc_id apart."""
+    return F.shiftright(F.xxhash64("text"), 32).cast("int")
+
+
 def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT, bits: int | None = None) -> DataFrame:
     """``(doc_id, text_id, at, n)``: runs of windows whose words also start somewhere in a document with a smaller doc_id.
 
@@ -194,10 +202,11 @@ def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT, bits: int
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     bits, rows = _frequent(plain, width, hot, bits)
     sketch = spark.sparkContext.broadcast(rows)
-    found = plain.withColumn("text_id", F.xxhash64("text")).mapInArrow(lambda b: _candidates(b, width, bits, sketch), "h long, g int, doc_id long, text_id long, at int, n int, hot boolean")
-    found.write.parquet(path := new_folder(spark, "windows"))
-    found = spark.read.schema(found.schema).parquet(path)
-    warm, cold = found.where("hot"), found.where("not hot")
+    named = plain.withColumn("text_id", _text_id())
+    warm, cold = (mapped(named, lambda b, hot=hot: _candidates(b, width, bits, sketch, hot), "h long, g int, doc_id long, text_id int, at int, n int") for hot in (True, False))
+    # the hot rows are read twice, the others once: these aren't stored
+    warm.write.parquet(path := new_folder(spark, "windows"))
+    warm = spark.read.schema(warm.schema).parquet(path)
     least = warm.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low")
     late = warm.join(least, ["h", "g"]).where("doc_id > low")
     early = cold.withColumn("low", F.min("doc_id").over(Window.partitionBy("h", "g"))).where("doc_id > low")
@@ -215,9 +224,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, texts: bool = False, hot: i
     text. No documents give no rows; other columns are left out.
     """
     at = repeated_windows(docs, width, hot, bits).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("at", "n")).alias("at"))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_id", F.xxhash64("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_id", _text_id())
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
-    return plain.join(at, ["doc_id", "text_id"], "left").select("doc_id", "text", "at").mapInArrow(lambda b: _apply(b, width, texts), schema)
+    whole = plain.join(at, ["doc_id", "text_id"], "left").select("doc_id", "text", "at")
+    return mapped(whole, lambda b: _apply(b, width, texts), schema)
 
 
 ORACLE_SQL = r"""
@@ -230,9 +240,9 @@ with d as (
 ), f as (
   select k, min(doc_id) low from x group by k
 ), r as (
-  select x.doc_id, list(i) at from x join f using (k) where x.doc_id > f.low group by x.doc_id
+  select x.doc_id, list(i) hits from x join f using (k) where x.doc_id > f.low group by x.doc_id
 ), c as (
-  select doc_id, list_distinct(flatten(list_transform(at, lambda i: range(i, i + 50)))) gone from r
+  select doc_id, list_distinct(flatten(list_transform(hits, lambda i: range(i, i + 50)))) gone from r
 ), o as (
   select d.doc_id, w, coalesce(len(gone), 0) n, case when gone is null then w else list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i))), lambda i: w[i]) end kept from d left join c using (doc_id)
 )
