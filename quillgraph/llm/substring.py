@@ -10,16 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, joined, mapped, new_folder, prepare, ragged, slices, span_hashes, tasks, utf8, window_hashes, words
+from .common import column, cut, joined, mapped, mix, prepare, ragged, run_hashes, slices, span_hashes, stored, tasks, utf8, window_hashes, words
 
 #: Words of the sampled grams whose least hash stands for a window in the sketch.
 GRAM = 16
 #: Cells of each of the two sketch rows: eight for every expected sample, between these powers of two.
 #: Two rows of 2**28 cells, two bits each, are 128 MB: the most that is ever sent to a task.
 LEAST_BITS, MOST_BITS = 18, 28
-#: Windows whose samples are this frequent are pre-aggregated and joined; the others, of which a key
-#: can have no more rows than that, are compared in one sorted pass.
+#: Windows whose samples are this frequent are gathered into segments, pre-aggregated and joined; the
+#: others, of which a key can have no more rows than that, are compared in one sorted pass.
 HOT = 2048
+#: Segments of hot windows end after one window in 2**SEGMENT_BITS, by its hash, and after so many at most.
+SEGMENT_BITS, SEGMENT_MOST = 4, 256
 _ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BLOCK_BITS = 16
 
@@ -123,36 +125,80 @@ def _frequent(docs: DataFrame, width: int, hot: int, bits: int | None) -> tuple[
     return bits, [r.tobytes() for r in rows]
 
 
-def _candidates(batches, width: int, bits: int, sketch, hot_ones: bool):
-    """Windows that the sketch holds to be repeated, the hot ones or the others: a 96-bit hash of their words, and where they start."""
+def _runs(batch: pa.RecordBatch, width: int, bits: int, rows: list[np.ndarray], hot_ones: bool):
+    """A slice's windows that the sketch holds to be repeated, the hot ones or the others, a row for a run of equal ones, which a word said over and over makes.
+
+    Two hashes of the words, where the run starts, how many windows it has, and its text's index.
+    """
+    raw, offsets = utf8(column(batch, "text"))
+    starts, ends, first = words(raw, offsets)
+    at, text = _windows(first, width)
+    if not len(at):
+        return None
+    h = span_hashes(raw, starts, ends, 1)
+    sample, keep, hot = window_samples(h, width)[at], np.ones(len(at), bool), np.ones(len(at), bool)
+    for row, warm, cell in zip(rows[: len(_ROWS)], rows[len(_ROWS) :], _cells(sample, bits), strict=True):
+        byte, bit = (cell >> np.uint64(3)).astype(np.int64), (cell & np.uint64(7)).astype(np.uint8)
+        keep &= (row[byte] >> bit) & 1 == 1
+        hot &= (warm[byte] >> bit) & 1 == 1
+    keep &= hot == hot_ones
+    if not keep.any():
+        return None
+    at, text = at[keep], text[keep]
+    a = window_hashes(h, width)[at]
+    b = window_hashes(span_hashes(raw, starts, ends, 2), width, 0xE7037ED1A0B428DB)[at]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])]))
+    n = np.diff(np.append(new, len(at)))
+    return a[new], b[new], at[new] - first[text[new]], n, text[new]
+
+
+def _narrow(b: np.ndarray) -> pa.Array:
+    return pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
+def _candidates(batches, width: int, bits: int, sketch):
+    """Windows that are repeated but not hot: a 96-bit hash of their words, and where they start."""
     rows = [np.frombuffer(r, np.uint8) for r in sketch.value]
     for batch in batches:
         for part in slices(batch):
-            raw, offsets = utf8(column(part, "text"))
-            starts, ends, first = words(raw, offsets)
-            at, text = _windows(first, width)
-            if not len(at):
-                continue
-            h = span_hashes(raw, starts, ends, 1)
-            sample, keep, hot = window_samples(h, width)[at], np.ones(len(at), bool), np.ones(len(at), bool)
-            for row, warm, cell in zip(rows[: len(_ROWS)], rows[len(_ROWS) :], _cells(sample, bits), strict=True):
-                byte, bit = (cell >> np.uint64(3)).astype(np.int64), (cell & np.uint64(7)).astype(np.uint8)
-                keep &= (row[byte] >> bit) & 1 == 1
-                hot &= (warm[byte] >> bit) & 1 == 1
-            keep &= hot == hot_ones
-            if not keep.any():
+            found = _runs(part, width, bits, rows, False)
+            if found is None:
                 continue
-            at, text = at[keep], text[keep]
-            a = window_hashes(h, width)[at]
-            b = window_hashes(span_hashes(raw, starts, ends, 2), width, 0xE7037ED1A0B428DB)[at]
-            # one row for a run of equal windows, which a word said over and over makes
-            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])]))
-            n = np.diff(np.append(new, len(at))).astype(np.int32)
-            at, text, a, b = at[new], text[new], a[new], b[new]
+            a, b, at, n, text = found
             key, print_ = column(part, "doc_id").to_numpy(zero_copy_only=False)[text], column(part, "text_id").to_numpy()[text]
             for i in range(0, len(at), 1 << 18):
                 j = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(a[j].view(np.int64)), pa.array((b[j] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(key[j].astype(np.int64)), pa.array(print_[j]), pa.array((at[j] - first[text[j]]).astype(np.int32)), pa.array(n[j])], names=["h", "g", "doc_id", "text_id", "at", "n"])
+                cols = [pa.array(a[j].view(np.int64)), _narrow(b[j]), pa.array(key[j].astype(np.int64)), pa.array(print_[j]), pa.array(at[j].astype(np.int32)), pa.array(n[j].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "doc_id", "text_id", "at", "n"])
+
+
+def segment_starts(a: np.ndarray, at: np.ndarray, n: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Where segments of adjoining runs begin: after a run whose hash says so, so that a shared passage is cut alike in every text."""
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (at[1:] != at[:-1] + n[:-1]) | (a[:-1] >> np.uint64(64 - SEGMENT_BITS) == 0)])
+    i = np.arange(len(at))
+    return np.flatnonzero(new | ((i - np.maximum.accumulate(np.where(new, i, 0))) % SEGMENT_MOST == 0))
+
+
+def _segments(batches, width: int, bits: int, sketch):
+    """Segments of hot windows: a 96-bit hash of all their words, where they start, and the runs in them."""
+    rows = [np.frombuffer(r, np.uint8) for r in sketch.value]
+    for batch in batches:
+        for part in slices(batch):
+            found = _runs(part, width, bits, rows, True)
+            if found is None:
+                continue
+            a, b, at, n, text = found
+            start = segment_starts(a, at, n, text)
+            whole = np.add.reduceat(n, start)
+            times = mix(n.astype(np.uint64))
+            sa, sb = run_hashes(mix(a ^ times), start, 0x9DDFEA08EB382D69), run_hashes(mix(b ^ times), start, 0xE7037ED1A0B428DB)
+            runs = pa.StructArray.from_arrays([pa.array(a.view(np.int64)), _narrow(b), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "g", "at", "n"])
+            runs = pa.ListArray.from_arrays(pa.array(np.append(start, len(at)).astype(np.int32)), runs)
+            key, print_ = column(part, "doc_id").to_numpy(zero_copy_only=False)[text[start]], column(part, "text_id").to_numpy()[text[start]]
+            cols = [pa.array(sa.view(np.int64)), _narrow(sb), pa.array(key.astype(np.int64)), pa.array(print_), pa.array(at[start].astype(np.int32)), pa.array(whole.astype(np.int32)), runs]
+            whole_batch = pa.RecordBatch.from_arrays(cols, names=["h", "g", "doc_id", "text_id", "at", "n", "runs"])
+            for i in range(0, len(start), 1 << 14):
+                yield whole_batch.slice(i, 1 << 14)
 
 
 def covered(n: int, at: np.ndarray, run: np.ndarray, width: int) -> np.ndarray:
@@ -184,6 +230,26 @@ def _text_id() -> F.Column:
     return F.shiftright(F.xxhash64("text"), 32).cast("int")
 
 
+def _late_hot(segments: DataFrame) -> DataFrame:
+    """``(doc_id, text_id, at, n)``: runs of hot windows that start in a document with a smaller doc_id.
+
+    A segment that also stands in a smaller document is late as a whole, one row
+    instead of one for each window. Only the smallest document of each distinct
+    segment shows its windows one by one: any other document of a window has the
+    same segment earlier, so their minimum is the window's minimum.
+    """
+    keys = ["h", "g"]
+    least = segments.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(*keys, "low")
+    met = segments.join(stored(least, "least"), keys, "left")
+    none = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("g"), "at", "n"))
+    shown = met.select("doc_id", "text_id", F.explode(F.when(F.col("doc_id") > F.col("low"), none).otherwise(F.col("runs"))).alias("r"))
+    shown = cut(shown.select("doc_id", "text_id", "r.*"))
+    alone = shown.where("h is not null")
+    first = alone.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(*keys, "low")
+    rest = alone.join(stored(first, "first"), keys).where("doc_id > low")
+    return shown.where("h is null").select("doc_id", "text_id", "at", "n").union(rest.select("doc_id", "text_id", "at", "n"))
+
+
 def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT, bits: int | None = None) -> DataFrame:
     """``(doc_id, text_id, at, n)``: runs of windows whose words also start somewhere in a document with a smaller doc_id.
 
@@ -194,23 +260,22 @@ def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT, bits: int
     gets a seventeenth of the windows. Pass two: windows that the sketch holds to
     occur twice or more, which are all that do, are grouped exactly, by 96 bits
     of two independent hashes of their words. A fuller sketch lets more through
-    and loses none. Hot windows' rows are pre-aggregated to the smallest document
-    and then joined, where skewed partitions are split; the others' groups are
-    bounded, and one sort serves them.
+    and loses none. Hot windows are grouped by whole segments first
+    (``_late_hot``), pre-aggregated to the smallest document and then joined,
+    where skewed partitions are split; the others' groups are bounded, and one
+    sort serves them.
     """
     spark = prepare(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     bits, rows = _frequent(plain, width, hot, bits)
     sketch = spark.sparkContext.broadcast(rows)
     named = plain.withColumn("text_id", _text_id())
-    warm, cold = (mapped(named, lambda b, hot=hot: _candidates(b, width, bits, sketch, hot), "h long, g int, doc_id long, text_id int, at int, n int") for hot in (True, False))
-    # the hot rows are read twice, the others once: these aren't stored
-    warm.write.parquet(path := new_folder(spark, "windows"))
-    warm = spark.read.schema(warm.schema).parquet(path)
-    least = warm.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low")
-    late = warm.join(least, ["h", "g"]).where("doc_id > low")
+    row = "h long, g int, doc_id long, text_id int, at int, n int"
+    cold = mapped(named, lambda b: _candidates(b, width, bits, sketch), row)
+    # the hot segments are read twice, the other windows once: these aren't stored
+    warm = stored(mapped(named, lambda b: _segments(b, width, bits, sketch), row + ", runs array<struct<h:long,g:int,at:int,n:int>>"), "segments")
     early = cold.withColumn("low", F.min("doc_id").over(Window.partitionBy("h", "g"))).where("doc_id > low")
-    return late.select("doc_id", "text_id", "at", "n").union(early.select("doc_id", "text_id", "at", "n"))
+    return _late_hot(warm).union(early.select("doc_id", "text_id", "at", "n"))
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, texts: bool = False, hot: int = HOT, bits: int | None = None) -> DataFrame:
