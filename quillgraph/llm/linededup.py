@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import cut, prepare, stored
 
 #: One in so many lines ends a chunk, on average.
 DIVISOR = 2
@@ -52,14 +52,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     Chunks are first grouped by a 64-bit hash, which moves no text; those whose
     hash comes twice are then grouped by their own bytes. Both groupings
     pre-aggregate in each task, so a passage of a third of all documents is a row
-    a task there; the final join splits skewed partitions.
+    a task there. What is joined is stored first, so that both sides of a join
+    are plain shuffles, of which Spark splits skewed partitions, and the text of
+    repeated chunks is moved and kept once.
     """
-    every = chunks(docs.where("doc_id is not null"))
-    keyed = every.withColumn("h", F.xxhash64("chunk"))
+    keyed = chunks(docs.where("doc_id is not null")).withColumn("h", F.xxhash64("chunk"))
     twice = keyed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    maybe = keyed.join(twice, "h")
+    maybe = stored(keyed.join(cut(twice), "h"), "chunks")
     earliest = maybe.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "first")).alias("kept"), F.count("*").alias("times")).where("times > 1").select("h", "chunk", "kept")
-    late = maybe.join(earliest, ["h", "chunk"]).where(F.struct("doc_id", "first") != F.col("kept"))
+    late = maybe.join(cut(earliest), ["h", "chunk"]).where(F.struct("doc_id", "first") != F.col("kept"))
     return late.select("doc_id", "row", "first", "n")
 
 
