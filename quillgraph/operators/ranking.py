@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict, deque
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DAMPING = 0.85
+from quillgraph.functions.fixed import DAMPING, EXACT_NODES, PIVOTS
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -75,32 +76,14 @@ def _brandes(near: dict[str, list[str]], source: str) -> dict[str, float]:
     return credit
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, exact_up_to: int = 500, pivots: int = 100, seed: int = 0, most_edges: int = 2_000_000) -> DataFrame:
-    """``(id, betweenness_centrality)``: the share of shortest paths through each node, directions and weights aside.
-
-    Exact up to 500 nodes; above, from 100 pivots drawn by a seed and scaled up.
-    Sources are dealt to tasks, which walk the graph from each; the graph itself
-    is sent to every task, so it may have ``most_edges`` edges at most, and this
-    is checked. Sums of the tasks are added by node.
-    """
-    spark = nodes.sparkSession
-    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    n = nodes.count()
-    if n <= 2:
-        return nodes.select("id", F.lit(0.0).alias("betweenness_centrality"))
-    listed = pairs.limit(most_edges + 1).toArrow()
-    if listed.num_rows > most_edges:
-        raise ValueError(f"betweenness needs the graph in each task; this one has over {most_edges} edges")
+def _credit_in_tasks(sources: DataFrame, listed: pa.Table) -> DataFrame:
+    """``(id, c)``: each task walks the graph, which it holds, from its sources."""
+    spark = sources.sparkSession
     near = defaultdict(list)
     for a, b in zip(*(listed.column(k).to_pylist() for k in range(2)), strict=True):
         near[a].append(b)
         near[b].append(a)
     sent = spark.sparkContext.broadcast(dict(near))
-    sources = nodes.select("id")
-    drawn = n
-    if n > exact_up_to:
-        drawn = min(pivots, n)
-        sources = sources.orderBy(F.xxhash64("id", F.lit(random.Random(seed).getrandbits(31))), "id").limit(drawn)
 
     def run(batches):
         for batch in batches:
@@ -111,6 +94,53 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact_up_to: int = 500, pivo
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["id", "c"])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = sources.repartition(tasks).mapInArrow(run, "id string, c double").groupBy("id").agg(F.sum("c").alias("c"))
+    return sources.repartition(tasks).mapInArrow(run, "id string, c double")
+
+
+def _credit_by_levels(sources: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(id, c)`` by joins: path counts level by level outwards from all sources at once, then credit back inwards.
+
+    Holds a row for each source and node, so its size is the number of sources
+    times the graph's, and no task holds the graph.
+    """
+    both = _cut(pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).union(pairs.select("b", "a")))
+    front = _cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
+    levels, seen = [front], front.select("s", "v")
+    while True:
+        step = front.join(both, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+        # a neighbour of this level lies in it, in the one before, or in the next
+        front = _cut(step.join(seen, ["s", "v"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = levels[-1].select("s", "v").union(front.select("s", "v"))
+        levels.append(front)
+    credit, found = levels[-1].withColumn("c", F.lit(0.0)), []
+    for nearer in reversed(levels[:-1]):
+        found.append(credit.select(F.col("v").alias("id"), "c"))
+        share = credit.select("s", F.col("v").alias("w"), ((1 + F.col("c")) / F.col("paths")).alias("share")).join(both, "w")
+        came = share.join(nearer.select("s", "v"), ["s", "v"], "left_semi").groupBy("s", "v").agg(F.sum("share").alias("share"))
+        credit = _cut(nearer.join(came, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("c")))
+    return reduce(DataFrame.union, found) if found else levels[0].select(F.col("v").alias("id"), F.lit(0.0).alias("c"))
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, exact_up_to: int = EXACT_NODES, pivots: int = PIVOTS, seed: int = 0, most_edges: int = 2_000_000) -> DataFrame:
+    """``(id, betweenness_centrality)``: the share of shortest paths through each node, directions and weights aside.
+
+    Exact up to 500 nodes; above, from 100 pivots drawn by a seed and scaled up.
+    A graph of up to ``most_edges`` edges, which is checked, is sent to the tasks,
+    which walk it from their sources; a larger one is walked level by level in
+    joins. Credit is added up by node.
+    """
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    n = nodes.count()
+    if n <= 2:
+        return nodes.select("id", F.lit(0.0).alias("betweenness_centrality"))
+    sources, drawn = nodes.select("id"), n
+    if n > exact_up_to:
+        drawn = min(pivots, n)
+        sources = sources.orderBy(F.xxhash64("id", F.lit(random.Random(seed).getrandbits(31))), "id").limit(drawn)
+    listed = pairs.limit(most_edges + 1).toArrow()
+    credit = _credit_in_tasks(sources, listed) if listed.num_rows <= most_edges else _credit_by_levels(sources, pairs)
+    found = credit.groupBy("id").agg(F.sum("c").alias("c"))
     scale = 1.0 / ((n - 1) * (n - 2)) * (n / drawn)
     return nodes.select("id").join(found, "id", "left").select("id", F.round(F.coalesce("c", F.lit(0.0)) * scale, 4).alias("betweenness_centrality"))

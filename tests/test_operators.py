@@ -134,8 +134,15 @@ def test_closed_forms(spark):
     full = plain(spark, [(a, b) for a in "abcd" for b in "abcd" if a < b])
     assert {v for _, v in ranking.betweenness(*full).collect()} == {0.0}
     assert dict(ranking.betweenness(*star, exact_up_to=3, pivots=7).collect())["hub"] == 1.0
-    with pytest.raises(ValueError):
-        ranking.betweenness(*full, most_edges=2)
+    for graph in (star, full, plain(spark, [("a", "b"), ("b", "c")])):
+        assert dict(ranking.betweenness(*graph, most_edges=1).collect()) == dict(ranking.betweenness(*graph).collect())
+
+
+def test_betweenness_by_levels(spark):
+    rng = random.Random(8)
+    nodes, edges = plain(spark, {(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(45)}, extra=["alone"])
+    for options in ({}, {"exact_up_to": 5, "pivots": 9}):
+        assert dict(ranking.betweenness(nodes, edges, most_edges=0, **options).collect()) == pytest.approx(dict(ranking.betweenness(nodes, edges, **options).collect()), abs=1e-4)
 
 
 def test_traverse(spark):
