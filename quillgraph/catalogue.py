@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.functions.fixed import LEGAL_FORMS
 from quillgraph.operators import chunking, entities, fusion, lexical, ranking, retrieve, vectors
 from quillgraph.operators import graph as G
 from quillgraph.operators import resolve as R
@@ -43,7 +44,7 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _CLEAN = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
 _TOKENS = r"list_filter(list_transform(regexp_extract_all(coalesce({0}, ''), '[a-zA-Z][a-zA-Z0-9_\-]{{1,}}'), lambda x: lower(x)), lambda x: x not in (" + _STOP + "))"
 _NAMES = r"list_filter(list_transform(regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_\-]+'), lambda t: regexp_extract(t, '^-*([A-Z][A-Za-z0-9_\-]*[A-Za-z0-9_])-*$', 1)), lambda x: x <> '')"
-_SIG = r"lower(trim(regexp_replace(regexp_replace(regexp_replace({0}, '(?i)\b(inc|incorporated|co|company|corp|corporation|limited|ltd|plc|llc)\b\.?', '', 'g'), '[^a-zA-Z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g')))"
+_SIG = r"lower(trim(regexp_replace(regexp_replace(regexp_replace({0}, '(?i)\b(" + LEGAL_FORMS + r")\b\.?', '', 'g'), '[^a-zA-Z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g')))"
 _KEY = "case when " + _SIG + " = '' then lower(" + _CLEAN + ") else " + _SIG + " end"
 _COLOUR = "case {0} " + " ".join(f"when '{k}' then '{v}'" for k, v in T.COLOURS.items()) + f" else '{T.DEFAULT_COLOUR}' end"
 _KIND = "case when {0} in (" + ", ".join(f"'{k}'" for k in T.COLOURS) + f") then {{0}} else '{T.DEFAULT_TYPE}' end"

@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that the keyword index leaves out. Single letters are left out by the token pattern, not by this list.
-STOPWORDS = tuple(
-    sorted(
-        "you your would with within why who while which where when what were was uses under to through those this they these there then their the that than such should same over other or only on off of not more into its how had has have from for does can both being between before because been are and also against again after about both".split(),
-        key=lambda w: (-len(w), w[::-1]),
-    )
-)
-TOKEN = r"[a-zA-Z][a-zA-Z0-9_\-]{1,}"
-NAME = r"(?U)\b[A-Z][A-Za-z0-9_\-]{1,}\b"
-LEGAL_FORM = r"(?iU)\b(inc|incorporated|co|company|corp|corporation|limited|ltd|plc|llc)\b\.?"
-
-COLOURS = {"EVENT": "#D35400", "FAC": "#16A085", "GPE": "#E74C3C", "LANGUAGE": "#2ECC71", "LAW": "#3498DB", "LOC": "#E74C3C", "NORP": "#9B59B6", "ORG": "#1ABC9C", "PERSON": "#F39C12", "PRODUCT": "#E67E22", "WORK_OF_ART": "#8E44AD"}
-DEFAULT_TYPE, DEFAULT_COLOUR = "DEFAULT", "#95A5A6"
+from quillgraph.functions import fixed
+from quillgraph.functions.fixed import COLOURS, DEFAULT_COLOUR, DEFAULT_TYPE, STOPWORDS, TOKEN
+
+NAME = f"(?U){fixed.NAME}"
+LEGAL_FORM = rf"(?iU)\b({fixed.LEGAL_FORMS})\b\.?"
 
 
 def clean(text: Column) -> Column:

@@ -6,11 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
-
-ROOT_POS = ("VERB", "AUX")
-SUBJECTS = ("csubj", "nsubj", "nsubjpass")
-OBJECTS = ("attr", "dative", "dobj", "oprd", "pobj")
-MODIFIERS = ("amod", "compound", "nummod")
+from quillgraph.functions.fixed import MODIFIERS, OBJECTS, ROOT_POS, SUBJECTS
 
 
 def mentions(chunks: DataFrame, label: str = "") -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.functions.fixed import WEIGHTS
 
 CHANNELS = ("vector", "keyword", "graph")
-WEIGHTS = {"vector": 0.5, "keyword": 0.25, "graph": 0.25}
 
 
 def channel(hits: DataFrame, name: str) -> DataFrame:

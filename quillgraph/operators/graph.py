@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
-
-CO_OCCURS, CO_TYPE, FACT_TYPE = "co_occurs_with", "cooccurrence", "extracted_triplet"
+from quillgraph.functions.fixed import CO_OCCURS, CO_TYPE, FACT_TYPE
 
 
 @dataclass

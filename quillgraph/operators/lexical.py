@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
-
-K1, B = 1.5, 0.75
+from quillgraph.functions.fixed import B, K1
 
 
 @dataclass

@@ -9,14 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
-
-THRESHOLD = 0.92
+from quillgraph.functions.fixed import SAME_ENTITY
 
 
 class Resolver:
     """Canonical signatures in order of arrival. A name joins the most alike one that it is compared with, from the threshold on."""
 
-    def __init__(self, threshold: float = THRESHOLD):
+    def __init__(self, threshold: float = SAME_ENTITY):
         self.threshold, self.known, self.blocks = threshold, {}, {}
 
     def _alike(self, old: str, new: str) -> float:
@@ -47,7 +46,7 @@ class Resolver:
         return self.known[sig]
 
 
-def resolve(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def resolve(names: DataFrame, threshold: float = SAME_ENTITY) -> DataFrame:
     """``names(ord, text)`` → ``(signature, canonical, first_seen)`` for each distinct signature that isn't empty.
 
     Order decides, so names are taken in order of first sight. A name is only

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+from quillgraph.functions.fixed import WEIGHTS
+
 PROVIDERS = {"ollama": None, "openai": "OPENAI_API_KEY", "gemini": "GEMINI_API_KEY", "echo": None}
 
 
@@ -28,7 +30,7 @@ class Config:
     top_k_keyword: int = 5
     max_hops: int = 2
     max_chunks: int = 8
-    weights: dict[str, float] = field(default_factory=lambda: {"vector": 0.5, "keyword": 0.25, "graph": 0.25})
+    weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
     chunk_size: int = 512
     chunk_overlap: int = 64
     env: dict[str, str] = field(default_factory=dict, repr=False)
@@ -41,7 +43,7 @@ class Config:
             "provider": env.get("LLM_PROVIDER", "ollama"), "model": env.get("LLM_MODEL", "llama3.2"),
             "top_k_vector": int(env.get("TOP_K_VECTOR", k)), "top_k_keyword": int(env.get("TOP_K_KEYWORD", 5)),
             "max_hops": int(env.get("MAX_HOPS", 2)), "max_chunks": int(env.get("MAX_CONTEXT_CHUNKS", 8)),
-            "weights": {c: float(env.get(f"SCORE_WEIGHT_{c.upper()}", w)) for c, w in (("vector", 0.5), ("keyword", 0.25), ("graph", 0.25))},
+            "weights": {c: float(env.get(f"SCORE_WEIGHT_{c.upper()}", w)) for c, w in WEIGHTS.items()},
         }
         return cls(**{**found, **{k: v for k, v in given.items() if v is not None}}, env=env)
 

@@ -27,7 +27,7 @@ def ingest(spark: SparkSession, path: str, folder: str, chunk_size: int = 512, c
     chunks = windows.join(sections.select(*keys, "source_ref"), keys).select("chunk_ord", "chunk_id", "text", "source_ref")
     found = None
     if tokens is not None:
-        ord_ = F.col("chunk_ord") * 1_000_000 + F.col("sent_id") * 1_000 + F.col("s_i") * 30 + F.col("o_i")
+        ord_ = ((F.col("chunk_ord") * 1_000 + F.col("sent_id")) * 1_000 + F.col("s_i")) * 1_000 + F.col("o_i")
         found = entities.dedup_triplets(entities.triplets(tokens).select(ord_.cast("long").alias("triplet_ord"), "subject", "predicate", "object", T.chunk_id(F.col("chunk_ord")).alias("chunk_id")))
     artifacts.write_chunks(chunks, found, folder)
     return artifacts.read(spark, folder, "chunks"), artifacts.read(spark, folder, "triplets") if found is not None else None
