@@ -268,6 +268,12 @@ def _star(spark, sf_dir) -> G.Graph:
     return G.build_graph(A.star_mentions(spark, sf_dir), _triplets(spark, sf_dir))
 
 
+def _built(spark, sf_dir) -> G.Graph:
+    """The same, computed once for queries that read it again and again."""
+    graph = _star(spark, sf_dir)
+    return G.Graph(ranking.cut(graph.nodes), ranking.cut(graph.edges))
+
+
 @query(_with(_STAR, "select triplet_ord, subject, predicate, object, chunk_id from dt"))
 def triplet_dedup(spark, sf_dir):
     return _triplets(spark, sf_dir)
@@ -298,12 +304,12 @@ def star_edges(spark, sf_dir):
 
 @query(_with(_STAR, "select id, dc degree_centrality from deg"))
 def degree_centrality(spark, sf_dir):
-    return G.degrees(_star(spark, sf_dir)).select("id", "degree_centrality")
+    return G.degrees(_built(spark, sf_dir)).select("id", "degree_centrality")
 
 
 @query(_with(_STAR, "select id, (select count(*) from edges where dst = id) in_degree, (select count(*) from edges where src = id) out_degree from nodes"))
 def in_out_degree(spark, sf_dir):
-    return G.degrees(_star(spark, sf_dir)).select("id", "in_degree", "out_degree")
+    return G.degrees(_built(spark, sf_dir)).select("id", "in_degree", "out_degree")
 
 
 _BFS = (
@@ -313,7 +319,7 @@ _BFS = (
 
 
 def _bfs(spark, sf_dir) -> tuple[DataFrame, G.Graph]:
-    graph = _star(spark, sf_dir)
+    graph = _built(spark, sf_dir)
     return G.traverse(A.table(spark, sf_dir, "region").select(T.node_key(F.col("r_name")).alias("seed")), graph.edges), graph
 
 
@@ -336,25 +342,25 @@ for _k in range(_ROUNDS):
 
 @query(_with(_PR, f"select id, round(pr, 9) pr from p{_ROUNDS}"))
 def pagerank_fixed_iter(spark, sf_dir):
-    graph = _star(spark, sf_dir)
+    graph = _built(spark, sf_dir)
     return ranking.pagerank(graph.nodes, graph.edges, _ROUNDS, None).select("id", F.round("pr", 9).alias("pr"))
 
 
 @query()
 def pagerank(spark, sf_dir):
-    graph = _star(spark, sf_dir)
+    graph = _built(spark, sf_dir)
     return ranking.pagerank(graph.nodes, graph.edges).select("id", F.round("pr", 9).alias("pr"))
 
 
 @query()
 def betweenness(spark, sf_dir):
-    graph = _star(spark, sf_dir)
+    graph = _built(spark, sf_dir)
     return ranking.betweenness(graph.nodes, graph.edges)
 
 
 @query()
 def hubs(spark, sf_dir):
-    graph = _star(spark, sf_dir)
+    graph = _built(spark, sf_dir)
     nodes = G.number_nodes(graph.nodes).join(ranking.betweenness(graph.nodes, graph.edges), "id")
     return G.hubs(nodes).select("id", "label", "betweenness_centrality")
 
@@ -384,7 +390,7 @@ def _asked(spark, sf_dir) -> DataFrame:
 
 @query(_with(_MATCH, "select query_id, id, pos from mt"))
 def node_match(spark, sf_dir):
-    return retrieve.match_nodes(entities.query_names(_asked(spark, sf_dir)), _star(spark, sf_dir).nodes)
+    return retrieve.match_nodes(entities.query_names(_asked(spark, sf_dir)), _built(spark, sf_dir).nodes)
 
 
 @query(
@@ -397,7 +403,7 @@ select query_id, chunk_id, round(sum(w), 6) score from mt join cr on seed = id g
 )
 def graph_retrieval(spark, sf_dir):
     """Graph evidence with equal ranks for all nodes."""
-    asked, graph = _asked(spark, sf_dir), _star(spark, sf_dir)
+    asked, graph = _asked(spark, sf_dir), _built(spark, sf_dir)
     n = graph.nodes.agg(F.count("*").alias("n"))
     ranks = graph.nodes.select("id").join(F.broadcast(n), F.lit(True)).select("id", (1.0 / F.col("n")).alias("pr"))
     matches = retrieve.match_nodes(entities.query_names(asked), graph.nodes)
@@ -410,13 +416,13 @@ def graph_retrieval(spark, sf_dir):
 
 @query(_with(_STAR, "select id, label, entity_type etype, 0.0::double btw, dc deg from nodes join deg using (id)"))
 def export_nodes(spark, sf_dir):
-    graph = _star(spark, sf_dir)
+    graph = _built(spark, sf_dir)
     return export.export_nodes(graph.nodes.join(G.degrees(graph), "id"))
 
 
 @query(_with(_STAR, "select src, dst, predicate pred, weight w from edges"))
 def export_edges(spark, sf_dir):
-    graph = _star(spark, sf_dir)
+    graph = _built(spark, sf_dir)
     return export.export_edges(graph.edges, graph.nodes)
 
 

@@ -60,9 +60,8 @@ def colour(kind: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased tokens without stopwords, in order and with repeats."""
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
-    return F.filter(found, lambda t: ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: ~t.isin(*STOPWORDS))
 
 
 def names(text: Column) -> Column:

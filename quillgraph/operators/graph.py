@@ -36,29 +36,36 @@ def chunk_keys(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("chunk_ord", "key").agg(first).select("chunk_ord", "key", "m.ent_pos", "m.text", "m.kind")
 
 
-def _distinct_in_order(events: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Ordered distinct values: first by value, which pre-aggregates, then one list for each key."""
-    first = events.groupBy(*by, value).agg(F.min("at").alias("ord"))
-    lists = first.groupBy(*by).agg(F.collect_list(F.struct("ord", F.col(value).alias("value"))).alias("v"))
-    return lists.select(*by, T.ordered_values(F.col("v")).alias(name))
+def _in_order(field: str) -> Column:
+    """Distinct values of a field of the sorted array ``seen``, in order of first sight."""
+    return F.array_distinct(F.transform("seen", lambda x: x[field]))
 
 
 def merge_nodes(events: DataFrame) -> DataFrame:
-    """``events(at, key, text, kind, chunk_id)`` → nodes: first label, first type that isn't the default, distinct chunks in order, and the order of first sight."""
-    kind = F.coalesce(F.min_by("kind", F.when(F.col("kind") != T.DEFAULT_TYPE, F.col("at"))), F.lit(T.DEFAULT_TYPE))
-    one = events.groupBy("key").agg(F.min_by("text", "at").alias("label"), kind.alias("entity_type"), F.min("at").alias("node_ord"))
-    both = one.join(_distinct_in_order(events, ["key"], "chunk_id", "chunk_ids"), "key")
-    return both.select(F.col("key").alias("id"), "label", "entity_type", T.colour(F.col("entity_type")).alias("color"), "chunk_ids", "node_ord")
+    """``events(at, key, text, kind, chunk_id)`` → nodes: first label, first type that isn't the default, distinct chunks in order, and the order of first sight.
+
+    Events are read once: first by node and chunk, which pre-aggregates, then by node.
+    """
+    typed = F.when(F.col("kind") != T.DEFAULT_TYPE, F.col("at"))
+    each = events.groupBy("key", "chunk_id").agg(F.min("at").alias("at"), F.min_by("text", "at").alias("text"), F.min_by("kind", typed).alias("kind"), F.min(typed).alias("kind_at"))
+    kind = F.coalesce(F.min_by("kind", "kind_at"), F.lit(T.DEFAULT_TYPE))
+    seen = F.array_sort(F.collect_list(F.struct("at", "chunk_id")))
+    one = each.groupBy("key").agg(F.min_by("text", "at").alias("label"), kind.alias("entity_type"), seen.alias("seen"), F.min("at").alias("node_ord"))
+    return one.select(F.col("key").alias("id"), "label", "entity_type", T.colour(F.col("entity_type")).alias("color"), _in_order("chunk_id").alias("chunk_ids"), "node_ord")
 
 
 def merge_edges(events: DataFrame) -> DataFrame:
-    """``events(at, src, dst, predicate, relation_type, chunk_id)`` → one edge for each ordered pair; its weight is its number of events. No loops."""
-    events = events.where("src <> dst")
+    """``events(at, src, dst, predicate, relation_type, chunk_id)`` → one edge for each ordered pair; its weight is its number of events. No loops.
+
+    Events are read once: first by edge and chunk, which pre-aggregates, then by edge.
+    """
     by = ["src", "dst"]
-    out = events.groupBy(*by).agg(F.count("*").alias("weight"), F.min_by("predicate", "at").alias("predicate"), F.min("at").alias("edge_ord"))
-    for value, name in (("predicate", "predicates"), ("relation_type", "relation_types"), ("chunk_id", "chunk_ids")):
-        out = out.join(_distinct_in_order(events, by, value, name), by)
-    return out.select("src", "dst", "predicate", "predicates", "relation_types", "chunk_ids", "weight", "edge_ord")
+    each = events.where("src <> dst").groupBy(*by, "predicate", "relation_type", "chunk_id").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    seen = F.array_sort(F.collect_list(F.struct("at", "predicate", "relation_type", "chunk_id")))
+    one = each.groupBy(*by).agg(F.sum("n").alias("weight"), seen.alias("seen"))
+    lists = [_in_order(value).alias(name) for value, name in (("predicate", "predicates"), ("relation_type", "relation_types"), ("chunk_id", "chunk_ids"))]
+    first = F.get("seen", F.lit(0))
+    return one.select(*by, first["predicate"].alias("predicate"), *lists, "weight", first["at"].alias("edge_ord"))
 
 
 def _at(phase: int, *parts: str) -> Column:

@@ -24,7 +24,9 @@ class LexicalIndex:
 def build_index(chunks: DataFrame) -> LexicalIndex:
     """Index ``chunks(chunk_ord, text)``. Chunks without tokens count for the number of documents and have length one."""
     tokens = chunks.select("chunk_ord", T.tokens(F.col("text")).alias("tokens"))
-    postings = tokens.select("chunk_ord", F.explode("tokens").alias("token")).groupBy("token", "chunk_ord").agg(F.count("*").cast("int").alias("tf"))
+    # an inner explosion would make Spark infer a filter, which would evaluate the tokens twice
+    each = tokens.select("chunk_ord", F.explode_outer("tokens").alias("token")).where("token is not null")
+    postings = each.groupBy("token", "chunk_ord").agg(F.count("*").cast("int").alias("tf"))
     lengths = tokens.select("chunk_ord", F.greatest(F.size("tokens"), F.lit(1)).alias("dl"))
     stats = lengths.agg(F.count("*").alias("doc_count"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("token").agg(F.count("*").alias("df"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.fixed import DAMPING, EXACT_NODES, PIVOTS
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -37,17 +37,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, toleranc
     round is a join and a grouping of what edges carry, pre-aggregated by target.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("w"))
-    share = _cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("w")).alias("share")))
+    share = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("w")).alias("share")))
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pr"))
     sinks = nodes.select("id").join(out.select(F.col("src").alias("id")), "id", "left_anti").withColumn("sink", F.lit(True))
-    ranks = _cut(nodes.select("id").join(sinks, "id", "left").select("id", F.coalesce("sink", F.lit(False)).alias("sink"), F.lit(1.0 / n).alias("pr")))
+    ranks = cut(nodes.select("id").join(sinks, "id", "left").select("id", F.coalesce("sink", F.lit(False)).alias("sink"), F.lit(1.0 / n).alias("pr")))
     for k in range(iterations):
         lost = ranks.where("sink").agg(F.coalesce(F.sum("pr"), F.lit(0.0))).first()[0]
         came = share.join(ranks.select(F.col("id").alias("src"), "pr"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("pr")).alias("s"))
         then = ranks.join(came, "id", "left").select("id", "sink", ((1 - DAMPING) / n + DAMPING * (F.coalesce("s", F.lit(0.0)) + lost / n)).alias("pr"), F.col("pr").alias("was"))
-        then = _cut(then)
+        then = cut(then)
         moved = then.agg(F.sum(F.abs(F.col("pr") - F.col("was")))).first()[0] if tolerance is not None else 1.0
         ranks = then.drop("was")
         if tolerance is not None and moved < n * tolerance:
@@ -103,13 +103,13 @@ def _credit_by_levels(sources: DataFrame, pairs: DataFrame) -> DataFrame:
     Holds a row for each source and node, so its size is the number of sources
     times the graph's, and no task holds the graph.
     """
-    both = _cut(pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).union(pairs.select("b", "a")))
-    front = _cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
+    both = cut(pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).union(pairs.select("b", "a")))
+    front = cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
     levels, seen = [front], front.select("s", "v")
     while True:
         step = front.join(both, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
         # a neighbour of this level lies in it, in the one before, or in the next
-        front = _cut(step.join(seen, ["s", "v"], "left_anti"))
+        front = cut(step.join(seen, ["s", "v"], "left_anti"))
         if front.isEmpty():
             break
         seen = levels[-1].select("s", "v").union(front.select("s", "v"))
@@ -119,7 +119,7 @@ def _credit_by_levels(sources: DataFrame, pairs: DataFrame) -> DataFrame:
         found.append(credit.select(F.col("v").alias("id"), "c"))
         share = credit.select("s", F.col("v").alias("w"), ((1 + F.col("c")) / F.col("paths")).alias("share")).join(both, "w")
         came = share.join(nearer.select("s", "v"), ["s", "v"], "left_semi").groupBy("s", "v").agg(F.sum("share").alias("share"))
-        credit = _cut(nearer.join(came, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("c")))
+        credit = cut(nearer.join(came, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("c")))
     return reduce(DataFrame.union, found) if found else levels[0].select(F.col("v").alias("id"), F.lit(0.0).alias("c"))
 
 

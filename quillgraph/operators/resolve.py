@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,37 +13,55 @@ from quillgraph.functions import text as T
 from quillgraph.functions.fixed import SAME_ENTITY
 
 
+#: Characters of signatures; each has a column of counts.
+_PLACE = {c: k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789- ")}
+
+
 class Resolver:
-    """Canonical signatures in order of arrival. A name joins the most alike one that it is compared with, from the threshold on."""
+    """Canonical signatures in order of arrival. A name joins the most alike one that it is compared with, from the threshold on.
+
+    Names are compared in full only if their characters' counts allow the
+    threshold, which is one pass of numpy over all rivals: shared characters
+    bound the matching blocks of two names, and so their likeness.
+    """
 
     def __init__(self, threshold: float = SAME_ENTITY):
         self.threshold, self.known, self.blocks = threshold, {}, {}
+        self.names: list[str] = []
+        self.counts, self.sizes = np.zeros((64, len(_PLACE) + 1), np.int16), np.zeros(64)
 
-    def _alike(self, old: str, new: str) -> float:
+    def _likeness(self, old: str, new: str) -> float:
         short, long = sorted((len(old), len(new)))
-        if new in old or old in new:
-            return short / long
-        match = SequenceMatcher(None, new, old)
-        # upper bounds first: they settle nearly all pairs
-        if match.real_quick_ratio() < self.threshold or match.quick_ratio() < self.threshold:
-            return 0.0
-        return match.ratio()
+        return short / long if new in old or old in new else SequenceMatcher(None, new, old).ratio()
+
+    def _remember(self, sig: str, counts: np.ndarray) -> int:
+        at = len(self.names)
+        if at == len(self.sizes):
+            self.counts, self.sizes = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.names.append(sig)
+        self.counts[at], self.sizes[at] = counts, len(sig)
+        return at
 
     def add(self, sig: str) -> str:
         if sig in self.known:
             return self.known[sig]
-        block = sig.split(" ", 1)[0][:3]
-        rivals = self.blocks.get(block) or [s for s in self.known if s[:1] == sig[:1]]
+        own = np.bincount([_PLACE.get(c, len(_PLACE)) for c in sig], minlength=len(_PLACE) + 1)
+        block = self.blocks.setdefault(sig.split(" ", 1)[0][:3], [])
+        # the block's canonical names, or all names of the first character, aliases too
+        rivals = np.array(block) if block else np.flatnonzero([s[0] == sig[0] for s in self.names])
         best, score = None, 0.0
-        for old in rivals:
-            s = self._alike(old, sig)
-            if s > score:
-                best, score = self.known[old], s
+        if len(rivals):
+            bound = 2 * np.minimum(self.counts[rivals], own).sum(axis=1) / (self.sizes[rivals] + len(sig))
+            for k in rivals[bound >= self.threshold - 1e-9].tolist():
+                s = self._likeness(self.names[k], sig)
+                if s > score:
+                    best, score = self.known[self.names[k]], s
+        at = self._remember(sig, own)
         if best is not None and score >= self.threshold:
             self.known[sig] = best
         else:
             self.known[sig] = sig
-            self.blocks.setdefault(block, []).append(sig)
+            block.append(at)
         return self.known[sig]
 
 
