@@ -18,7 +18,7 @@ DATA_BLOCK, QUERY_BLOCK = 16_384, 2_048
 
 
 def enough(n_rows: int) -> int:
-    """Candidates, counted once for each tree, that end the ascent: all of 2,000 rows, and 8 n**0.63 of more."""
+    """Distinct vectors that end the ascent, each counted once over all trees: all of 2,000, and 8 n**0.63 of more."""
     return max(2_000, math.ceil(8 * n_rows**0.63))
 
 
@@ -48,8 +48,8 @@ def strings(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
 class Block:
     """The forest over a block of vectors: for each tree, a sorted array of hash strings and the rows in that order."""
 
-    def __init__(self, x: np.ndarray, turns: np.ndarray):
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    def __init__(self, x: np.ndarray, turns: np.ndarray, mean: np.ndarray | float = 0.0):
+        unit = _unit(x, mean)
         self.trees = []
         for turn in turns:
             code = strings(unit, turn)
@@ -67,8 +67,15 @@ class Block:
         return np.searchsorted(array, low), np.searchsorted(array, high, side="right")
 
 
-def _codes(q: np.ndarray, turns: np.ndarray) -> np.ndarray:
-    unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+def _unit(x: np.ndarray, mean: np.ndarray | float) -> np.ndarray:
+    """Directions from the mean, which distances don't depend on; a vector at the mean itself has none and stays zero."""
+    x = x - mean
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1.0)
+
+
+def _codes(q: np.ndarray, turns: np.ndarray, mean: np.ndarray | float = 0.0) -> np.ndarray:
+    unit = _unit(q, mean)
     return np.stack([strings(unit, t) for t in turns])
 
 
@@ -77,31 +84,37 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
     return col.flatten().to_numpy().reshape(len(col), -1) if len(col) else np.zeros((0, 1))
 
 
-def _counts(queries: pa.Table, rows: pa.Table, seed: int, trees: int) -> pa.Table:
-    """For each query, rows of this block under its prefix of each length, summed over the trees."""
+def _counts(queries: pa.Table, rows: pa.Table, seed: int, trees: int, mean: np.ndarray) -> pa.Table:
+    """For each query, distinct vectors of this block under its prefix of each length in any tree; ``lead`` marks one row of each vector."""
     q, x = _matrix(queries, "x"), _matrix(rows, "x")
     if not len(q) or not len(x):
         return pa.table({"query_id": pa.array([], pa.int64()), "depth": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
     turns = rotations(x.shape[1], trees, seed)
-    forest, codes = Block(x, turns), _codes(q, turns)
+    forest, codes = Block(x, turns, mean), _codes(q, turns, mean)
+    lead = rows.column("lead").combine_chunks().to_numpy(zero_copy_only=False)
     n = np.zeros((len(q), SYMBOLS + 1), np.int64)
-    for tree in range(trees):
-        for depth in range(SYMBOLS + 1):
-            a, b = forest.ranges(codes[tree], tree, depth)
-            n[:, depth] += b - a
+    n[:, 0] = lead.sum()
+    bounds = np.array([[forest.ranges(codes[tree], tree, depth) for tree in range(trees)] for depth in range(1, SYMBOLS + 1)])
+    for i in range(len(q)):
+        seen = np.zeros(len(x), bool)
+        for depth in range(SYMBOLS, 0, -1):  # a longer prefix's rows are among a shorter one's
+            low, high = bounds[depth - 1, :, 0, i], bounds[depth - 1, :, 1, i]
+            for tree in np.flatnonzero(high > low):
+                seen[forest.trees[tree][1][low[tree] : high[tree]]] = True
+            n[i, depth] = np.count_nonzero(seen & lead)
     some = n > 0
     i, depth = np.nonzero(some)
     return pa.table({"query_id": queries.column("query_id").combine_chunks().take(pa.array(i)), "depth": pa.array(depth.astype(np.int32)), "n": pa.array(n[some])})
 
 
-def _nearest(queries: pa.Table, rows: pa.Table, seed: int, trees: int, k: int) -> pa.Table:
+def _nearest(queries: pa.Table, rows: pa.Table, seed: int, trees: int, k: int, mean: np.ndarray) -> pa.Table:
     """For each query, the nearest of its candidates in this block: rows that share its prefix of the chosen length in some tree."""
     q, x = _matrix(queries, "x"), _matrix(rows, "x")
     own, ids, depths = (queries.column("query_id").to_numpy(), rows.column("vec_id").to_numpy(), queries.column("depth").to_numpy()) if len(q) and len(x) else (np.zeros(0, np.int64),) * 3
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(own):
         turns = rotations(x.shape[1], trees, seed)
-        forest, codes = Block(x, turns), _codes(q, turns)
+        forest, codes = Block(x, turns, mean), _codes(q, turns, mean)
         bounds = np.zeros((2, trees, len(q)), np.int64)
         for depth in np.unique(depths):
             at = np.flatnonzero(depths == depth)
@@ -129,15 +142,34 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     return fine.groupBy("vec_id").agg(F.min("x").alias("x"))
 
 
+def _mean(distinct: DataFrame, dim: int) -> np.ndarray:
+    """The mean of the vectors, from a sum of each task's; zero where doubles don't hold it."""
+
+    def run(batches):
+        total, n = np.zeros(dim), 0
+        for batch in batches:
+            x = _matrix(pa.Table.from_batches([batch]), "x")
+            if len(x):
+                total, n = total + x.sum(axis=0), n + len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], names=["total", "n"])
+
+    sums = distinct.select("x").mapInArrow(run, "total array<double>, n long").collect()
+    mean = np.sum([r.total for r in sums], axis=0) / max(1, sum(r.n for r in sums))
+    return mean if np.isfinite(mean).all() else np.zeros(dim)
+
+
 def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = TREES, candidates: int | None = None, seed: int = 7) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each vector whose id is divisible by ``every``.
 
     The index holds all rows: in each of ``trees`` trees, a sorted array of long
     hash strings. A query descends every tree to its longest matching prefixes
     and ascends them all together, one symbol at a time, until the prefixes hold
-    ``candidates`` rows (``enough``) over all trees and blocks; those rows'
-    distances are computed in doubles. Up to some 2,000 rows the ascent ends at
-    the roots and the result is exact. No sample is fitted: rotations are random.
+    ``candidates`` distinct vectors (``enough``) over all trees and blocks, so
+    neither what trees share nor equal vectors fill the quota; the distances of
+    all rows there are computed in doubles. Up to 2,000 distinct vectors the
+    ascent ends at the roots and the result is exact. Directions are taken from
+    the mean of the distinct vectors, as one that all share would put most rows
+    under the same prefixes. No sample is fitted: rotations are random.
 
     Rows are dealt into blocks by a hash of their id and queries into blocks of
     their own; a task holds one of each, whatever groups of equal vectors there
@@ -152,14 +184,18 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = TREES
     schema = "query_id long, rank int, vec_id long, score double"
     if common is None:
         return spark.createDataFrame([], schema)
-    dim, n = common
+    dim = common[0]
     rows = rows.where(F.col("dim") == dim).select("vec_id", "x")
+    # a row a task for each vector, however often it comes
+    distinct = cut(rows.groupBy("x").agg(F.min("vec_id").alias("vec_id")))
+    n, mean = rows.count(), _mean(distinct, dim)
     asked = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
     n_data, n_query = -(-n // DATA_BLOCK), max(1, -(-asked.count() // QUERY_BLOCK))
-    need = enough(n) if candidates is None else candidates
+    need = enough(distinct.count()) if candidates is None else candidates
     block = lambda key, of, salt: F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(of)).cast("int")
     # each side is repeated for every block of the other: blocks against blocks, never rows against rows
-    data = rows.withColumn("d", block("vec_id", n_data, 1)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
+    marked = cut(rows.join(distinct.select("vec_id", F.lit(True).alias("lead")), "vec_id", "left").withColumn("lead", F.coalesce("lead", F.lit(False))))
+    data = marked.withColumn("d", block("vec_id", n_data, 1)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
 
     def asked_blocks(asked: DataFrame) -> DataFrame:
         return asked.withColumn("q", block("query_id", n_query, 2)).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))))
@@ -167,10 +203,10 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = TREES
     def blocks(asked: DataFrame):
         return asked_blocks(asked).groupBy("q", "d").cogroup(data.groupBy("q", "d"))
 
-    count = blocks(asked).applyInArrow(lambda q, x: _counts(q, x, seed, trees), "query_id long, depth int, n long")
+    count = blocks(asked).applyInArrow(lambda q, x: _counts(q, x, seed, trees, mean), "query_id long, depth int, n long")
     total = count.groupBy("query_id", "depth").agg(F.sum("n").alias("n"))
     depth = total.where(F.col("n") >= need).groupBy("query_id").agg(F.max("depth").alias("depth"))
     deep = cut(asked.join(depth, "query_id", "left").select("query_id", "x", F.coalesce("depth", F.lit(0)).alias("depth")))
-    near = blocks(deep).applyInArrow(lambda q, x: _nearest(q, x, seed, trees, k), "query_id long, vec_id long, score double")
+    near = blocks(deep).applyInArrow(lambda q, x: _nearest(q, x, seed, trees, k, mean), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -182,6 +182,21 @@ def test_neighbours_recall(spark):
     assert np.mean([len({w[0] for w in want[q]} & {r[2] for r in got[q]}) for q in want]) >= 9.0
 
 
+@pytest.mark.parametrize("weight, copies", [(1.0, 0), (0.5, 10_000), (1.0, 10_000)])
+def test_neighbours_recall_with_shared_direction_and_copies(spark, weight, copies):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    ids, x = np.arange(30_000), unit(unit(rng.normal(size=(30_000, 64))) + weight * unit(rng.normal(size=(1, 64))))
+    x[rng.permutation(30_000)[:copies]] = x[1]
+    df = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))}))
+    got = check_ranks(forest.search(df, every=300).collect())
+    found = {q: np.mean([r[1] <= want[-1][1] + 1e-9 for r in got[q]]) for q, want in nearest(ids, x, 300, 10).items()}
+    other = [v for q, v in found.items() if not (x[q] == x[1]).all()]  # a copy's nearest are its copies
+    assert np.mean(other) >= 0.9 and len(got) == 100
+
+
 def test_neighbours_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     ids, x = np.arange(300), rng.normal(size=(300, 9)).round(1)
