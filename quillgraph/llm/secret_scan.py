@@ -128,17 +128,11 @@ def spans(text: bytes) -> list[tuple[int, int, int]]:
                     e -= 1
             if e - s < 4 or any(a < e and s < b for a, b in base):
                 continue
-            if guess_cost(text[s:e].decode("utf-8", "replace"), ENOUGH) >= ENOUGH and _mixed(text[s:e]):
+            if guess_cost(text[s:e].decode("utf-8", "replace"), ENOUGH) >= ENOUGH:
                 found.append((s, 3, e))
     return sorted(found)
 
 
-def _mixed(value: bytes) -> bool:
-    """Prose after ``secret:`` is no secret: a value needs two kinds of characters inside."""
-    kinds = (re.search(rb"[a-z]", value), re.search(rb"[A-Z]", value[1:]), re.search(rb"[0-9]", value), re.search(rb"[^A-Za-z0-9\x20.,;:!?'\"()\x80-\xff-]", value))
-    return b" " not in value and sum(k is not None for k in kinds) >= 2 and (kinds[1] is not None or kinds[2] is not None)
-
-
 def _points(text: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Byte offsets as code points."""
     if text.isascii() or not found:

@@ -40,6 +40,14 @@ def test_secrets(spark, odd, rows):
     assert secret_scan.scan(odd).count() == len(rows)
 
 
+@pytest.mark.parametrize("value", ["xkqzvwjrmt", "7gK2 qP9x Lm4T", "XKQZVWJRMT", "xkq_zvw_jrmt", "zqx vwk jrm tpl"])
+def test_guess_cost_alone_decides(value):
+    text = f'pwd: "{value}" end'.encode()
+    assert secret_scan.guess_cost(value) >= secret_scan.ENOUGH
+    assert secret_scan.spans(text) == [(6, 3, 6 + len(value))]
+    assert secret_scan.spans(b'pwd: "password the welcome" pwd=sunshine1') == []
+
+
 def test_redact(spark, odd):
     docs = spark.createDataFrame([(i, t, len(t), "x") for i, t in enumerate(SECRETS)] + [(99, None, None, None)], "doc_id long, text string, n_chars long, spans string")
     got = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
