@@ -22,8 +22,8 @@ _ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")  # runs are maximal, so just those of 16 and more
 _HINT = re.compile(rb"passw|secret|token|api_?key", re.I)
-#: Where a value is a credential: more names than the fixed form knows, and values of any printable characters.
-_CONTEXT = re.compile(rb"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\r\n]{4,256})"|'([^'\r\n]{4,256})'|([!-~]{4,}))""", re.I)
+#: Where a value is a credential: more names than the fixed form knows, and values of any characters, unquoted ones up to a space, Unicode's too.
+_CONTEXT = re.compile(rb"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\r\n]{4,256})"|'([^'\r\n]{4,256})'|((?:[!-~]|(?!\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[\xc2-\xf4][\x80-\xbf]+){4,}))""", re.I)
 _CONTEXT_HINT = re.compile(rb"passw|passp|passc|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential", re.I)
 
 #: Frequent words of passwords and of English, the more frequent first.
@@ -126,9 +126,10 @@ def spans(text: bytes) -> list[tuple[int, int, int]]:
             if group == 3:
                 while e > s and text[e - 1 : e] in (b".", b",", b";", b")", b"]", b"}", b'"', b"'"):
                     e -= 1
-            if e - s < 4 or any(a < e and s < b for a, b in base):
+            if e - s < 4 or any(a <= s and e <= b for a, b in base):
                 continue
-            if guess_cost(text[s:e].decode("utf-8", "replace"), ENOUGH) >= ENOUGH:
+            # a value that reaches beyond a base span is a secret as a whole, as a part of it is one
+            if any(a < e and s < b for a, b in base) or guess_cost(text[s:e].decode("utf-8", "replace"), ENOUGH) >= ENOUGH:
                 found.append((s, 3, e))
     return sorted(found)
 
@@ -158,8 +159,9 @@ def scan(docs: DataFrame) -> DataFrame:
     Base spans are the leftmost non-overlapping matches of each kind, in code
     points: assignments of 12 and more characters to a credential's name, access
     ids of 18 and more, lower-case hexadecimal runs of 16 and more. The method
-    adds ``guess``: the value of a credential, outside of base spans, that takes
-    10**8 guesses or more at its cheapest segmentation (``guess_cost``). Null
+    adds ``guess``: the value of a credential, not within a base span, that takes
+    10**8 guesses or more at its cheapest segmentation (``guess_cost``), or that
+    reaches beyond a base span in it. Null
     texts are empty: no spans, and the hash of nothing. Texts are scanned whole.
     """
     prepare(docs.sparkSession)

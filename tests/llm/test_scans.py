@@ -48,6 +48,14 @@ def test_guess_cost_alone_decides(value):
     assert secret_scan.spans(b'pwd: "password the welcome" pwd=sunshine1') == []
 
 
+@pytest.mark.parametrize("text, want", [
+    ('password="Abcdefghijkl!Zx9#kk" x', "[SECRET]\" x"), ("token=abcdefghijklmn!Q7 x", "[SECRET] x"), ('secret="Zx!' + "deadbeef" * 2 + '"', 'secret="[SECRET]"'),
+    ("password: xK9é#vLq2!pZ x", "password: [SECRET] x"), ("password: éü9#vLq2!pZ\u00a0x", "password: [SECRET]\u00a0x"), ('token="abcdefghijkl" x', "[SECRET]\" x"),
+])
+def test_values_are_redacted_whole(spark, text, want):
+    assert secret_scan.redact(spark.createDataFrame([(text,)], "text string")).first().text == want
+
+
 def test_redact(spark, odd):
     docs = spark.createDataFrame([(i, t, len(t), "x") for i, t in enumerate(SECRETS)] + [(99, None, None, None)], "doc_id long, text string, n_chars long, spans string")
     got = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
