@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,17 +176,19 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = TREES
     their own; a task holds one of each, whatever groups of equal vectors there
     are. Two passes: prefix counts, which are summed over blocks and fix each
     query's depth; then distances, of which a block returns ``k`` a query.
-    Vectors of other dimensions than the most frequent one take no part, nor
-    those that ``usable`` leaves out. Ties go to the smaller vec_id.
+    Vectors of each dimension are searched among themselves; those that
+    ``usable`` leaves out take no part. Ties go to the smaller vec_id.
     """
     spark = prepare(vectors.sparkSession)
     rows = cut(usable(vectors).withColumn("dim", F.size("x")))
-    common = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return spark.createDataFrame([], schema)
-    dim = common[0]
-    rows = rows.where(F.col("dim") == dim).select("vec_id", "x")
+    dims = [r.dim for r in rows.select("dim").distinct().orderBy("dim").collect()]
+    if not dims:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, [_search(rows.where(F.col("dim") == d).select("vec_id", "x"), d, every, k, trees, candidates, seed) for d in dims])
+
+
+def _search(rows: DataFrame, dim: int, every: int, k: int, trees: int, candidates: int | None, seed: int) -> DataFrame:
+    """``search`` among vectors of one dimension."""
     # a row a task for each vector, however often it comes
     distinct = cut(rows.groupBy("x").agg(F.min("vec_id").alias("vec_id")))
     n, mean = rows.count(), _mean(distinct, dim)

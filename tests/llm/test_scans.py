@@ -225,6 +225,12 @@ def test_neighbours_blocks(spark, monkeypatch):
     assert {q: [r[2] for r in v] for q, v in got.items()} == {q: [w[0] for w in v] for q, v in want.items()}
 
 
+def test_neighbours_of_each_dimension(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (100, [1.0, 0.0, 0.0]), (3, [1.0, 0.2, 0.0])]
+    got = forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2), (100, 1, 3)]
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [0.0, 0.0]), (200, None), (300, [nan, 1.0]), (400, [inf, 1.0]), (500, [None, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (None, [1.0, 1.0]), (3, [1.0, 0.0, 0.0]), (1, [1.0, 0.0]), (600, [])]
