@@ -17,8 +17,6 @@ from .wordbpe import SLICE_BYTES, load, with_end
 NEARLY = 64
 #: Partitions, and then groups, that merge at each level of the tree.
 FAN_IN = 8
-#: Underfull sequences that one group hands up; of more, the fullest are emitted as they are.
-CARRIED = 50_000
 #: Pieces that a task packs at a time.
 HELD = 1_000_000
 
@@ -87,8 +85,15 @@ def _pieces(batches, tokenizer: str, end: int, capacity: int):
         yield from flush()
 
 
-def _merge(table: pa.Table, capacity: int, carried: int) -> pa.Table:
-    """Pack a group's sequences as items; each base sequence gets its new one and its place there."""
+def _merge(table: pa.Table, capacity: int, spare: int) -> pa.Table:
+    """Pack a group's sequences as items; each base sequence gets its new one and its place there.
+
+    Two sequences can only be joined if one of them is at most half full, and best
+    fit leaves a group one such at most. So a group above, which merges ``FAN_IN``
+    of these, fills up at most so many others; of sequences over half full and
+    equally full, which are interchangeable, ``spare`` (``FAN_IN`` for each level
+    above) are all that can still be called for, and the others are done.
+    """
     base, now, at, fill = (table.column(k).to_numpy() for k in ("base", "now", "at", "fill"))
     ids, of = np.unique(now, return_inverse=True)
     # dealt by a fixed order of fills and ids: a task that runs again packs alike
@@ -96,23 +101,33 @@ def _merge(table: pa.Table, capacity: int, carried: int) -> pa.Table:
     name = np.full(len(full), np.iinfo(np.int64).max)
     np.minimum.at(name, bins, ids)
     done = capacity - full <= capacity // NEARLY
-    if (~done).sum() > carried:
-        order = np.argsort(full, kind="stable")
-        order = order[~done[order]]
-        done[order[carried:]] = True
+    order = np.argsort(full, kind="stable")
+    again = np.arange(len(full)) - np.searchsorted(full[order], full[order])  # how many came before with the same fill
+    done[order[(again >= spare) & (2 * full[order] > capacity)]] = True
     cols = [pa.array(base), pa.array(name[bins[of]]), pa.array(at + place[of]), pa.array(fill), pa.array(table.column("part").to_numpy()), pa.array(done[bins[of]])]
     return pa.table(cols, names=["base", "now", "at", "fill", "part", "done"])
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048, carried: int = CARRIED) -> DataFrame:
+def levels_above(groups: int) -> int:
+    """Levels of the tree over one with so many groups."""
+    n = 0
+    while groups > 1:
+        groups, n = -(-groups // FAN_IN), n + 1
+    return n
+
+
+def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048) -> DataFrame:
     """Pack all texts: ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, a row for each piece.
 
     A document is its text's ids (null and empty: none) and the id ``end``; only
     one longer than ``capacity`` is cut, into whole sequences and a rest. Each
     partition packs its pieces best-fit, emits sequences that are nearly full,
     and hands the underfull ones up a tree, where groups of ``FAN_IN`` pack
-    them as items, round after round. What a group hands up is bounded, and what
-    travels is a few numbers a sequence, never tokens. Repeated rows, null ids
+    them as items, round after round. A group hands up a bounded number of each
+    fill, all that groups above can use (``_merge``), so nothing is lost by it; and
+    what travels is a few numbers a sequence, never tokens. A sequence but one of
+    each flush is over half full, so a partition's bytes bound how many it has.
+    Repeated rows, null ids
     and ties are packed like any others; other columns are left out; no documents
     give no rows.
     """
@@ -126,8 +141,9 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048, ca
     groups = 1 if width is None else width + 1
     while width is not None:
         groups = -(-groups // FAN_IN)
+        spare = FAN_IN * levels_above(groups)
         level = level.withColumn("part", F.floor(F.col("part") / FAN_IN))
-        merged = cut(level.groupBy("part").applyInArrow(lambda t: _merge(t, capacity, carried), "base long, now long, at long, fill long, part long, done boolean"))
+        merged = cut(level.groupBy("part").applyInArrow(lambda t: _merge(t, capacity, spare), "base long, now long, at long, fill long, part long, done boolean"))
         if groups == 1:
             moved.append(merged)
             break

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import public_tokenizers as P
 import tiktoken
@@ -106,15 +107,41 @@ def check_packed(got, docs, library, capacity):
     return len(by)
 
 
-@pytest.mark.parametrize("capacity, carried", [(2048, packing.CARRIED), (300, packing.CARRIED), (300, 3)])
-def test_pack(spark, word_library, real, capacity, carried):
+@pytest.mark.parametrize("capacity", [2048, 300])
+def test_pack(spark, word_library, real, capacity):
     docs = [(r.doc_id, r.text) for r in real.collect()]
-    got = packing.pack(real.repartition(19), WORD, capacity=capacity, carried=carried).collect()
+    got = packing.pack(real.repartition(19), WORD, capacity=capacity).collect()
     n = check_packed(got, docs, word_library, capacity)
     least = -(-sum(r.length for r in got) // capacity)
     assert n <= 1.05 * least + 2
 
 
+@pytest.mark.parametrize("fan_in", [2, 3, 8])
+def test_what_groups_keep_back_is_never_missed(monkeypatch, fan_in):
+    """Sequences in the end with the groups' bound and without it."""
+    monkeypatch.setattr(packing, "FAN_IN", fan_in)
+    rng = np.random.default_rng(fan_in)
+
+    def merged(parts, bound):
+        tables = []
+        for k, fills in enumerate(parts):
+            base = (k << 40) + np.arange(len(fills))
+            tables.append(pa.table({"base": base, "now": base, "at": np.zeros(len(fills), np.int64), "fill": fills, "part": np.full(len(fills), k)}))
+        ended = 0
+        while True:
+            groups = [tables[k : k + fan_in] for k in range(0, len(tables), fan_in)]
+            spare = fan_in * packing.levels_above(len(groups)) if bound else 1 << 60
+            out = [packing._merge(pa.concat_tables(g), 100, spare) for g in groups]
+            if len(out) == 1:
+                return ended + len(set(out[0].column("now").to_pylist()))
+            ended += sum(len(set(t.filter(t.column("done")).column("now").to_pylist())) for t in out)
+            tables = [t.filter(pa.compute.invert(t.column("done"))).drop_columns(["done"]) for t in out]
+
+    for _ in range(20):
+        parts = [np.append(rng.choice([51, 55, 60, 67, 80, 90], rng.integers(0, 200)), rng.integers(1, 51, 1)) for _ in range(int(rng.integers(1, 40)))]
+        assert merged(parts, True) == merged(parts, False)
+
+
 def test_pack_odd(odd, rows, word_library):
     got = packing.pack(odd, WORD, capacity=64).collect()
     total = sum(len(ids_of(word_library, r[1], 0)) for r in rows)
