@@ -190,24 +190,65 @@ def test_neighbours_small_is_exact(spark, sf):
         assert [r[2] for r in got[q]] == [w[0] for w in want] and np.allclose([r[1] for r in got[q]], [w[1] for w in want], rtol=1e-12)
 
 
+def frame(spark, ids, x):
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))}))
+
+
 def test_neighbours_recall(spark):
-    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").orderBy("vec_id").collect()
-    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    got = check_ranks(registry.queries()["op3_neighbours"](spark, "/root/testdata/check_s").collect())
-    want = nearest(ids, x, 100, 10)
+    """Uniform directions, the hardest case, where ascents end below the roots."""
+    rng = np.random.default_rng(3)
+    ids, x = np.arange(12_000), rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = frame(spark, ids, x)
+    got, want = check_ranks(forest.search(df).collect()), nearest(ids, x, 100, 10)
+    assert set(got) == set(want)
     assert np.mean([len({w[0] for w in want[q]} & {r[2] for r in got[q]}) for q in want]) >= 9.0
+    # the candidates are a part of the rows only
+    whole = forest.usable(df)
+    index = forest.Index(whole, 12_000, 64, forest.TREES, 7)
+    deep = forest.depths(index, whole.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), forest.enough(12_000))
+    assert {r.depth for r in deep.collect()} <= {1, 2}
+    found = index.met(deep, forest._candidates, "query_id long, block int, places binary").collect()
+    seen = {q: set() for q in want}
+    for r in found:
+        seen[r.query_id] |= {(r.block, p) for p in np.frombuffer(r.places, "<u2").tolist()}
+    assert 0 < np.mean([len(v) for v in seen.values()]) < 0.4 * 12_000
+
+
+def test_neighbours_share_prefixes(spark, monkeypatch):
+    """Which vectors are compared, against a plain walk of every tree; parts and blocks of any size find the same."""
+    rng = np.random.default_rng(6)
+    ids, x = np.arange(900) * 10, rng.normal(size=(900, 12))
+    df, need = frame(spark, ids, x), 40
+    turns = forest.rotations(12, 5)
+    code = forest.keys(x, turns, x.mean(axis=0))
+    want = {}
+    for i in np.flatnonzero(ids % 100 == 0):
+        for depth in range(forest.SYMBOLS, -1, -1):
+            low, high = forest.prefix_range(code[:, i], depth)
+            under = ((code >= low[:, None]) & (code <= high[:, None])).any(axis=0) if depth else np.ones(900, bool)
+            if under.sum() >= need:
+                break
+        c = np.flatnonzero(under & (np.arange(900) != i))
+        d = np.sqrt(((x[c] - x[i]) ** 2).sum(axis=1))
+        want[int(ids[i])] = [int(v) for v in ids[c[np.lexsort((ids[c], d))[:10]]]]
+    for part, block in ((forest.PART, forest.BLOCK), (50, 64)):
+        monkeypatch.setattr(forest, "PART", part)
+        monkeypatch.setattr(forest, "BLOCK", block)
+        got = {q: [r[2] for r in v] for q, v in check_ranks(forest.search(df, trees=5, candidates=need).collect()).items()}
+        # counts come from a sketch, so a query near the quota may stop a symbol earlier or later
+        assert set(got) == set(want) and np.mean([got[q] == want[q] for q in want]) >= 0.85
 
 
 @pytest.mark.parametrize("weight, copies", [(1.0, 0), (0.5, 10_000), (1.0, 10_000)])
 def test_neighbours_recall_with_shared_direction_and_copies(spark, weight, copies):
-    import pyarrow as pa
-
     rng = np.random.default_rng(11)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     ids, x = np.arange(30_000), unit(unit(rng.normal(size=(30_000, 64))) + weight * unit(rng.normal(size=(1, 64))))
     x[rng.permutation(30_000)[:copies]] = x[1]
-    df = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))}))
-    got = check_ranks(forest.search(df, every=300).collect())
+    got = check_ranks(forest.search(frame(spark, ids, x), every=300).collect())
     found = {q: np.mean([r[1] <= want[-1][1] + 1e-9 for r in got[q]]) for q, want in nearest(ids, x, 300, 10).items()}
     other = [v for q, v in found.items() if not (x[q] == x[1]).all()]  # a copy's nearest are its copies
     assert np.mean(other) >= 0.9 and len(got) == 100
@@ -217,10 +258,9 @@ def test_neighbours_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     ids, x = np.arange(300), rng.normal(size=(300, 9)).round(1)
     x[50:80] = x[0]  # ties
-    monkeypatch.setattr(forest, "DATA_BLOCK", 64)
-    monkeypatch.setattr(forest, "QUERY_BLOCK", 7)
-    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
-    got = check_ranks(forest.search(df, every=10).collect())
+    monkeypatch.setattr(forest, "BLOCK", 64)
+    monkeypatch.setattr(forest, "PART", 99)
+    got = check_ranks(forest.search(frame(spark, ids, x), every=10).collect())
     want = nearest(ids, x, 10, 10)
     assert {q: [r[2] for r in v] for q, v in got.items()} == {q: [w[0] for w in v] for q, v in want.items()}
 
