@@ -109,14 +109,24 @@ def test_components(spark):
 
 
 def cut_lines(text):
+    """Lines, and chunks as (first, end, bytes, neighbours before from near to far, neighbours after)."""
     lines = text.split("\n")
+    n = len(lines)
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    out, first = [], 0
-    for i in range(len(lines)):
-        if i == len(lines) - 1 or ((h[i - 1] if i else 0) * linededup._PRIME + h[i]) % linededup.DIVISOR == 0:
-            out.append((first, i + 1, "\n".join(lines[first : i + 1])))
-            first = i + 1
-    return lines, [c for c in out if c[1] - c[0] >= linededup.LEAST_LINES and re.search(r"\S", c[2])]
+    r = [((h[i - 1] if i else 0) * linededup._PRIME + h[i]) % linededup._MODULUS for i in range(n)]
+    ends = [i for i in range(1, n + 1) if i == n or 2 <= i <= n - 2 and r[i - 1] < r[i - 2] and r[i - 1] < r[i]]
+    out = []
+    for k, e in enumerate(ends):
+        b, low, high = ends[k - 1] if k else 0, max(0, (ends[k - 2] if k > 1 else 0) - 3), min(n, (ends[k + 1] if k + 1 < len(ends) else n) + 3)
+        out.append((b, e, "\n".join(lines[b:e]), lines[low:b][::-1], lines[e:high]))
+    return lines, [c for c in out if c[1] - c[0] >= 2 and re.search(r"\S", c[2])]
+
+
+def in_common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
 
 
 @pytest.mark.parametrize("which", ["odd", "real"])
@@ -125,17 +135,45 @@ def test_lines(request, which):
     rows = sorted(((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.doc_id is not None), key=lambda r: r[0])
     earliest = {}
     for i, t in rows:
-        for a, _, c in cut_lines(t or "")[1]:
-            earliest[c] = min(earliest.get(c, (i, a)), (i, a))
+        for a, _, c, up, down in cut_lines(t or "")[1]:
+            if c not in earliest or (i, a) < earliest[c][:2]:
+                earliest[c] = i, a, up, down
     want = []
     for i, t in rows:
         lines, found = cut_lines(t or "")
-        gone = {k for a, b, c in found if earliest[c] != (i, a) for k in range(a, b)}
+        gone = set()
+        for a, b, c, up, down in found:
+            if earliest[c][:2] != (i, a):
+                gone |= set(range(a - in_common(up, earliest[c][2]), b + in_common(down, earliest[c][3])))
         want.append((i, 0 if t is None else len(lines), len(gone), t if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     got = sorted((tuple(r) for r in linededup.report(docs).collect() if r.doc_id is not None), key=lambda r: r[0])
     assert got == want
     assert sum(r[2] for r in want) > 0
     assert linededup.dedup_lines(docs).columns == docs.columns
+    # nothing is lost: every line that goes stands in an earlier document, or earlier in the same
+    left = {x for r in got for x in (r[3] or "").split("\n")}
+    assert {x for _, t in rows for x in (t or "").split("\n")} - {""} <= left
+
+
+def test_whole_passages_go(spark):
+    """Passages of six lines and more go whole, whatever stands around them, and so does one line said over and over."""
+    import random
+
+    rng = random.Random(4)
+    line = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) + str(rng.randrange(10**6)) for _ in range(6))
+    shared = {k: [line() for _ in range(n)] for k, n in enumerate([12, 20, 40, 8, 30])}
+    rows, whole = [(0, "\n".join(x for v in shared.values() for x in [line() for _ in range(5)] + v))], 0
+    for d in range(1, 60):
+        body = shared[d % 5]
+        rows.append((d, "\n".join([line() for _ in range(d % 7)] + body + [line() for _ in range(d % 4)])))
+    got = {r.doc_id: r for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d in range(1, 60):
+        own = d % 7 + d % 4
+        assert got[d].n_lines - got[d].n_removed in (own, got[d].n_lines)  # all of the passage, or none of it
+        whole += got[d].n_lines - got[d].n_removed == own
+    assert whole >= 57 and got[0].n_removed == 0
+    said = spark.createDataFrame([(0, "x\n" * 30), (1, "x\n" * 30)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in linededup.report(said).collect()} == {0: 0, 1: 31}
 
 
 def substrings(rows, width):
