@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lines": linededup.ORACLE_SQL, "op5_substrings": substring.ORACLE_SQL}
+    return {"op4_lines": linededup.ORACLE_SQL, "op5_substrings": substring.ORACLE_SQL, "op8_quality_rules": quality.ORACLE_SQL}

@@ -221,7 +221,7 @@ def test_empty_tables(empty):
         assert f(empty).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op4_lines", "op5_substrings"])
+@pytest.mark.parametrize("name", ["op4_lines", "op5_substrings", "op8_quality_rules"])
 def test_sql(spark, sf, name):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf}/documents.parquet'")

@@ -123,7 +123,20 @@ def test_sketches_merge(spark, real):
     fences = quality._fences(quality.sketches(whole.withColumn("one", quality.F.lit(1)), ["one"]), ["one"]).first()
     x = np.sort([r[0] for r in whole.where("not _q_base_failed").select("_q_word_len").collect()])
     mid, low = x[-(-len(x) // 2) - 1], x[-(-len(x) // 10) - 1]
-    assert abs(fences.word_len - (mid + 4 * (mid - low) + 3)) < 0.1 * mid
+    high = x[-(-3 * len(x) // 4) - 1]
+    assert fences.mid_word_len == pytest.approx(mid, rel=0.02) and fences.reach_word_len == pytest.approx(6 * max(mid - low, high - mid), abs=6 * 0.03 * mid)
+
+
+def test_junk_source_does_not_lift_its_fence(spark):
+    """A source of symbols only loses them as if it stood among others; one of somewhat longer words keeps its documents."""
+    rng = np.random.default_rng(1)
+    prose = lambda n, size: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(size - 2, size + 3))) for _ in range(n))
+    rows = [(k, prose(80, 5), "en", f"s{k % 3}") for k in range(900)]
+    rows += [(900 + k, " ".join(f"{w} #|%" if rng.random() < 0.4 else w for w in prose(80, 5).split()), "en", "junk") for k in range(300)]
+    rows += [(1200 + k, prose(80, 6), "en", "long") for k in range(300)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k].kept for k in [*range(900), *range(1200, 1500)])
+    assert not any(got[k].kept for k in range(900, 1200)) and {got[k].failed.split(",")[0] for k in range(900, 1200)} == {"symbols"}
 
 
 def test_classifier(spark):
