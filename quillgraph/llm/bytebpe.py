@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import column, mapped, prepare, slices
 
 #: Characters, and bytes of one piece, that the library encodes in one go; longer ones are halved.
-LEAF_CHARS, LEAF_BYTES = 2048, 256
+LEAF_CHARS, LEAF_BYTES = 256, 256
 #: Tokens on each side of a seam within a piece that are encoded anew at first; then twice as many, and so on.
 WINDOW = 2
 

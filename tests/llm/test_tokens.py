@@ -52,7 +52,7 @@ def test_forgets(monkeypatch, word_library):
     assert wordbpe.WordBpe(WORD).ids(pa.array([text]))[0].tolist() == word_library.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("chars, size", [(2048, 256), (7, 8), (64, 32), (1, 2)])
+@pytest.mark.parametrize("chars, size", [(bytebpe.LEAF_CHARS, bytebpe.LEAF_BYTES), (2048, 256), (7, 8), (64, 32), (1, 2)])
 def test_byte_bpe(byte_library, chars, size):
     tree = bytebpe.TreeBpe(BYTE, P.PATTERN, chars, size)
     for text in ODD:
