@@ -56,11 +56,64 @@ def test_near_duplicates(request, which, longest):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fp[i]:016x}", want[i]) for i in ids}
 
 
-def test_drop_near_duplicates(odd):
+def shingles(text, width=5):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def test_drop_near_duplicates(spark, odd):
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
-    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(odd).collect() if r.doc_id is not None}
-    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {i for i, c in classes.items() if i == c}
+    groups = {r.doc_id: r.component_id for r in simhash.similar(odd).collect()}
+    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {i for i, c in groups.items() if i == c}
+    rows = {r.doc_id: r.text for r in odd.collect() if r.doc_id is not None}
+    assert set(groups) == set(rows)
+    # copies share a group; members of a group are alike through others
+    assert len({groups[i] for i, t in rows.items() if t == rows[5]}) == 1
+    for i, c in groups.items():
+        if i != c:
+            assert any(j != i and groups[j] == c and (rows[i] == rows[j] or len(shingles(rows[i]) & shingles(rows[j])) >= 0.6 * len(shingles(rows[i]) | shingles(rows[j]))) for j in rows)
+
+
+@pytest.mark.parametrize("longest", [simhash.LONGEST, 3])
+def test_near_copies_are_found(spark, longest):
+    """Texts with a few words changed, by their real likeness, and texts that merely share a third."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    texts, near, far = [], [], []
+    for k in range(150):
+        base = [word() for _ in range(rng.randint(150, 400))]
+        copy = list(base)
+        for i in rng.sample(range(len(base)), 1 + k % 4):
+            copy[i] = word()
+        a, b = len(texts), len(texts) + 1
+        texts += [" ".join(base), " ".join(copy), " ".join(base[: len(base) // 3] + [word() for _ in base])]
+        x, y = shingles(texts[a]), shingles(texts[b])
+        if len(x & y) >= 0.88 * len(x | y):
+            near.append((a, b))
+        far.append((a, a + 2))
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), longest=longest).collect()}
+    assert len(near) > 80 and np.mean([got[a] == got[b] for a, b in near]) >= 0.95
+    assert not any(got[a] == got[b] for a, b in far)
+
+
+def test_wide_lists_cut_at_any_batch():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 63, (3, 3)).astype(np.uint64)
+    key = np.repeat(np.arange(6), [1, 2, 9, 40, 3, 25])
+    fp = base[rng.integers(0, 3, len(key))] ^ (np.uint64(1) << rng.integers(0, 64, (len(key), 3)).astype(np.uint64))
+
+    def groups(n, longest):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + n]), *simhash._columns(fp[i : i + n])], names=["key", "f0", "f1", "f2"]) for i in range(0, len(key), n)]
+        links = [(tuple(r[:3]), tuple(r[3:])) for b in simhash._wide_lists(iter(batches), 29, longest) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        return components(sorted(set(map(tuple, fp.view(np.int64).tolist()))), links)
+
+    for longest in (4, 30, 100):
+        assert all(groups(n, longest) == groups(1000, 100) for n in (1, 4, 11, 200))
 
 
 def test_matching_pairs_are_all_close_pairs():
