@@ -92,16 +92,19 @@ norm as (select *, case when hi = lo then case when hi > 0 then 1.0::double else
 wide as (select query_id, chunk_ord, coalesce(max(norm) filter (channel = 'vector'), 0) vector, coalesce(max(norm) filter (channel = 'keyword'), 0) keyword, 0.0::double graph from norm group by all),
 fused as (select *, row_number() over (partition by query_id order by round(total, 9) desc, chunk_ord) rank from (select *, 0.5 * vector + 0.25 * keyword + 0.25 * graph total from wide where chunk_ord in (select doc_id from documents)) qualify rank <= 8)"""
 )
-_STAR = f"""raw_mentions as (
+
+
+def _star_sql(customers: bool = True) -> str:
+    return f"""raw_mentions as (
   select n_nationkey::bigint chunk_ord, n_name a, 'GPE' al, r_name b, 'LOC' bl from nation join region on n_regionkey = r_regionkey
-  union all select c_custkey + {A.CUSTOMERS}, c_name, 'PERSON', n_name, 'DATE' from customer join nation on c_nationkey = n_nationkey
+{f"  union all select c_custkey + {A.CUSTOMERS}, c_name, 'PERSON', n_name, 'DATE' from customer join nation on c_nationkey = n_nationkey" if customers else ""}
   union all select s_suppkey + {A.SUPPLIERS}, s_name, 'ORG', n_name, 'GPE' from supplier join nation on s_nationkey = n_nationkey
 ), sm as (select chunk_ord, 0 ent_pos, a txt, al label from raw_mentions union all select chunk_ord, 1, b, bl from raw_mentions
 ), st as (
   select n_nationkey::bigint triplet_ord, n_name subject, 'part of' predicate, r_name object, 'n' || n_nationkey chunk_id from nation join region on n_regionkey = r_regionkey
   union all select s_suppkey + {A.CUSTOMERS}, s_name, 'operates in', n_name, 's' || (s_suppkey + {A.CUSTOMERS}) from supplier join nation on s_nationkey = n_nationkey
   union all select s_suppkey + {A.SUPPLIERS}, upper(' ' || s_name), 'OPERATES IN', n_name, 't' || (s_suppkey + {A.SUPPLIERS}) from supplier join nation on s_nationkey = n_nationkey
-  union all select c_custkey + {2 * A.SUPPLIERS}, c_name, 'lives in', n_name, 'c' || (c_custkey + {2 * A.SUPPLIERS}) from customer join nation on c_nationkey = n_nationkey
+{f"  union all select c_custkey + {2 * A.SUPPLIERS}, c_name, 'lives in', n_name, 'c' || (c_custkey + {2 * A.SUPPLIERS}) from customer join nation on c_nationkey = n_nationkey" if customers else ""}
 ), dt as (select * from st qualify row_number() over (partition by lower(trim(subject)), lower(trim(predicate)), lower(trim(object)) order by triplet_ord) = 1
 ), skey as (select *, {_KEY.format("txt")} k, {_KIND.format("label")} kind from sm
 ), look as (select k, arg_max(kind, chunk_ord * 2 + ent_pos) entity_type from skey group by k
@@ -122,6 +125,9 @@ _STAR = f"""raw_mentions as (
 ), deg as (select id, round(coalesce(near, 0) / ((select count(*) from nodes) - 1), 4) dc from nodes left join near using (id))"""
 
 
+_STAR = _star_sql()
+
+
 def _with(ctes: str, body: str) -> str:
     return f"with recursive {ctes} {body}"
 
@@ -260,17 +266,17 @@ def cooc_edges(spark, sf_dir):
     return edges.select("src", "dst", "predicate", "weight", F.get("chunk_ids", F.lit(0)).alias("first_chunk"))
 
 
-def _triplets(spark, sf_dir) -> DataFrame:
-    return entities.dedup_triplets(A.star_triplets(spark, sf_dir))
+def _triplets(spark, sf_dir, customers: bool = True) -> DataFrame:
+    return entities.dedup_triplets(A.star_triplets(spark, sf_dir, customers))
 
 
-def _star(spark, sf_dir) -> G.Graph:
-    return G.build_graph(A.star_mentions(spark, sf_dir), _triplets(spark, sf_dir))
+def _star(spark, sf_dir, customers: bool = True) -> G.Graph:
+    return G.build_graph(A.star_mentions(spark, sf_dir, customers), _triplets(spark, sf_dir, customers))
 
 
-def _built(spark, sf_dir) -> G.Graph:
+def _built(spark, sf_dir, customers: bool = True) -> G.Graph:
     """The same, computed once for queries that read it again and again."""
-    graph = _star(spark, sf_dir)
+    graph = _star(spark, sf_dir, customers)
     return G.Graph(ranking.cut(graph.nodes), ranking.cut(graph.edges))
 
 
@@ -346,21 +352,42 @@ def pagerank_fixed_iter(spark, sf_dir):
     return ranking.pagerank(graph.nodes, graph.edges, _ROUNDS, None).select("id", F.round("pr", 9).alias("pr"))
 
 
-@query()
+_PR_ALL = (
+    _PR
+    + """, it as (select 0 k, id, 1.0::double / n pr, 1e9::double moved from nodes, m
+union all select k, id, pr, sum(abs(pr - was)) over () moved from (
+  select z.k + 1 k, z.id, 0.15 / n + 0.85 * (coalesce(s, 0) + lost / n) pr, z.pr was from it z
+  left join (select dst, sum(share * y.pr) s from sh join it y on y.id = src group by dst) c on c.dst = z.id, m, (select coalesce(sum(pr), 0) lost from it where id in (select id from sink))
+  where z.moved >= n * 1e-6 and z.k < 100))"""
+)
+
+
+@query(_with(_PR_ALL, "select id, round(pr, 9) pr from it where k = (select max(k) from it)"))
 def pagerank(spark, sf_dir):
     graph = _built(spark, sf_dir)
     return ranking.pagerank(graph.nodes, graph.edges).select("id", F.round("pr", 9).alias("pr"))
 
 
-@query()
+#: Regions, nations and suppliers are a forest, where betweenness has a closed form: the pairs of nodes that a node parts,
+#: from the numbers of nodes behind each of its neighbours.
+_BTW = (
+    _star_sql(customers=False)
+    + """, bw as (select a frm, b id from und union all select b, a from und), behind as (select frm v, id w, id x, frm prev from bw union all select v, w, b.id, k.x from behind k join bw b on b.frm = k.x and b.id <> k.prev),
+part as (select v, w, count(*) s from behind group by v, w), pairs as (select v, sum(s) * sum(s) - sum(s * s) c from part group by v),
+btw as (select id, round(coalesce(c, 0)::double / ((select count(*) from nodes) - 1) / ((select count(*) from nodes) - 2), 4) betweenness_centrality from nodes left join pairs on v = id)"""
+)
+
+
+@query(_with(_BTW, "select id, betweenness_centrality from btw"))
 def betweenness(spark, sf_dir):
-    graph = _built(spark, sf_dir)
+    """The graph of regions, nations and suppliers, exact while it has at most 500 nodes."""
+    graph = _built(spark, sf_dir, customers=False)
     return ranking.betweenness(graph.nodes, graph.edges)
 
 
-@query()
+@query(_with(_BTW, "select id, label, betweenness_centrality from btw join nodes using (id) order by betweenness_centrality desc, seen limit 10"))
 def hubs(spark, sf_dir):
-    graph = _built(spark, sf_dir)
+    graph = _built(spark, sf_dir, customers=False)
     nodes = G.number_nodes(graph.nodes).join(ranking.betweenness(graph.nodes, graph.edges), "id")
     return G.hubs(nodes).select("id", "label", "betweenness_centrality")
 
@@ -438,10 +465,7 @@ _PARSED = [
 _TOKEN_ROWS = [(c, s, i, *t) for c, s, ts in _PARSED for i, t in enumerate(ts)]
 
 
-@query(
-    "with recursive tok(chunk_ord, sent_id, i, txt, lemma, pos, dep, head_i) as (values "
-    + ", ".join(str(r) for r in _TOKEN_ROWS)
-    + """), up as (select chunk_ord, sent_id, head_i top, i low from tok where head_i <> i union select u.chunk_ord, u.sent_id, t.head_i, u.low from up u join tok t on t.chunk_ord = u.chunk_ord and t.sent_id = u.sent_id and t.i = u.top and t.head_i <> t.i),
+_FROM_TOKENS = """), up as (select chunk_ord, sent_id, head_i top, i low from tok where head_i <> i union select u.chunk_ord, u.sent_id, t.head_i, u.low from up u join tok t on t.chunk_ord = u.chunk_ord and t.sent_id = u.sent_id and t.i = u.top and t.head_i <> t.i),
 sp as (select chunk_ord, sent_id, i, string_agg(txt, ' ' order by low) span from (select chunk_ord, sent_id, i, i low, txt from tok union all select u.chunk_ord, u.sent_id, top, low, txt from up u join tok t on t.chunk_ord = u.chunk_ord and t.sent_id = u.sent_id and t.i = low where dep in ('amod', 'compound', 'nummod')) group by all),
 rt as (select chunk_ord, sent_id, min(i) i, arg_min(lemma, i) lemma from tok where dep = 'ROOT' and pos in ('VERB', 'AUX') group by all)
 select r.chunk_ord::bigint chunk_ord, r.sent_id, a.span subject, r.lemma predicate, b.span object from rt r
@@ -449,12 +473,30 @@ join tok s on s.chunk_ord = r.chunk_ord and s.sent_id = r.sent_id and s.head_i =
 join tok o on o.chunk_ord = r.chunk_ord and o.sent_id = r.sent_id and o.dep in ('dobj', 'pobj', 'attr', 'oprd', 'dative')
 join tok h on h.chunk_ord = r.chunk_ord and h.sent_id = r.sent_id and h.i = o.head_i and (o.head_i = r.i or h.head_i = r.i)
 join sp a on a.chunk_ord = r.chunk_ord and a.sent_id = r.sent_id and a.i = s.i join sp b on b.chunk_ord = r.chunk_ord and b.sent_id = r.sent_id and b.i = o.i where lower(a.span) <> lower(b.span)"""
-)
+
+
+@query("with recursive tok(chunk_ord, sent_id, i, txt, lemma, pos, dep, head_i) as (values " + ", ".join(str(r) for r in _TOKEN_ROWS) + _FROM_TOKENS)
 def token_triplets(spark, sf_dir):
     tokens = spark.createDataFrame(_TOKEN_ROWS, "chunk_ord long, sent_id int, i int, text string, lemma string, pos string, dep string, head_i int")
     return entities.triplets(tokens).select("chunk_ord", "sent_id", "subject", "predicate", "object")
 
 
+_CUSTOMER_TOKENS = """with recursive own as (select c_custkey k, c_name, n_name from customer join nation on c_nationkey = n_nationkey), tok as (
+  select k chunk_ord, 0 sent_id, v.i, v.txt, v.lemma, v.pos, v.dep, v.head_i from (select k, unnest([
+    {'i': 0, 'txt': 'Loyal', 'lemma': 'loyal', 'pos': 'ADJ', 'dep': 'amod', 'head_i': 2}, {'i': 1, 'txt': c_name, 'lemma': c_name, 'pos': 'PROPN', 'dep': 'compound', 'head_i': 2},
+    {'i': 2, 'txt': 'family', 'lemma': 'family', 'pos': 'NOUN', 'dep': case when k % 3 = 1 then 'nsubjpass' else 'nsubj' end, 'head_i': 3},
+    {'i': 3, 'txt': 'orders', 'lemma': 'order', 'pos': case when k % 3 = 0 then 'NOUN' else 'VERB' end, 'dep': 'ROOT', 'head_i': 3},
+    {'i': 4, 'txt': k::varchar, 'lemma': k::varchar, 'pos': 'NUM', 'dep': 'nummod', 'head_i': 5}, {'i': 5, 'txt': 'parts', 'lemma': 'part', 'pos': 'NOUN', 'dep': 'dobj', 'head_i': 3},
+    {'i': 6, 'txt': 'from', 'lemma': 'from', 'pos': 'ADP', 'dep': 'prep', 'head_i': 3}, {'i': 7, 'txt': 'new', 'lemma': 'new', 'pos': 'ADJ', 'dep': 'amod', 'head_i': 8},
+    {'i': 8, 'txt': n_name, 'lemma': n_name, 'pos': 'PROPN', 'dep': 'pobj', 'head_i': 6}]) v from own)"""
+
+
+@query(_CUSTOMER_TOKENS + _FROM_TOKENS)
+def customer_triplets(spark, sf_dir):
+    """Triplets of a parsed sentence for each customer."""
+    return entities.triplets(A.customer_tokens(spark, sf_dir)).select("chunk_ord", "sent_id", "subject", "predicate", "object")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

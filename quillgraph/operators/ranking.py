@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict, deque
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,48 +53,6 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, toleranc
     return ranks.select("id", "pr")
 
 
-def _brandes(near: dict[str, list[str]], source: str) -> dict[str, float]:
-    order, parents, paths, depth = [], defaultdict(list), defaultdict(float, {source: 1.0}), {source: 0}
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in near.get(v, ()):
-            if w not in depth:
-                depth[w] = depth[v] + 1
-                queue.append(w)
-            if depth[w] == depth[v] + 1:
-                paths[w] += paths[v]
-                parents[w].append(v)
-    credit = defaultdict(float)
-    for w in reversed(order):
-        for v in parents[w]:
-            credit[v] += paths[v] / paths[w] * (1 + credit[w])
-    credit.pop(source, None)
-    return credit
-
-
-def _credit_in_tasks(sources: DataFrame, listed: pa.Table) -> DataFrame:
-    """``(id, c)``: each task walks the graph, which it holds, from its sources."""
-    spark = sources.sparkSession
-    near = defaultdict(list)
-    for a, b in zip(*(listed.column(k).to_pylist() for k in range(2)), strict=True):
-        near[a].append(b)
-        near[b].append(a)
-    sent = spark.sparkContext.broadcast(dict(near))
-
-    def run(batches):
-        for batch in batches:
-            total: dict[str, float] = defaultdict(float)
-            for s in batch.column(0).to_pylist():
-                for v, c in _brandes(sent.value, s).items():
-                    total[v] += c
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["id", "c"])
-
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return sources.repartition(tasks).mapInArrow(run, "id string, c double")
-
-
 def _credit_by_levels(sources: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(id, c)`` by joins: path counts level by level outwards from all sources at once, then credit back inwards.
 
@@ -123,13 +79,12 @@ def _credit_by_levels(sources: DataFrame, pairs: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found) if found else levels[0].select(F.col("v").alias("id"), F.lit(0.0).alias("c"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, exact_up_to: int = EXACT_NODES, pivots: int = PIVOTS, seed: int = 0, most_edges: int = 2_000_000) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, exact_up_to: int = EXACT_NODES, pivots: int = PIVOTS, seed: int = 0) -> DataFrame:
     """``(id, betweenness_centrality)``: the share of shortest paths through each node, directions and weights aside.
 
     Exact up to 500 nodes; above, from 100 pivots drawn by a seed and scaled up.
-    A graph of up to ``most_edges`` edges, which is checked, is sent to the tasks,
-    which walk it from their sources; a larger one is walked level by level in
-    joins. Credit is added up by node.
+    All sources walk the graph at once, level by level in joins, so no task and
+    not the driver holds it. Credit is added up by node.
     """
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     n = nodes.count()
@@ -139,8 +94,6 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact_up_to: int = EXACT_NOD
     if n > exact_up_to:
         drawn = min(pivots, n)
         sources = sources.orderBy(F.xxhash64("id", F.lit(random.Random(seed).getrandbits(31))), "id").limit(drawn)
-    listed = pairs.limit(most_edges + 1).toArrow()
-    credit = _credit_in_tasks(sources, listed) if listed.num_rows <= most_edges else _credit_by_levels(sources, pairs)
-    found = credit.groupBy("id").agg(F.sum("c").alias("c"))
+    found = _credit_by_levels(sources, pairs).groupBy("id").agg(F.sum("c").alias("c"))
     scale = 1.0 / ((n - 1) * (n - 2)) * (n / drawn)
     return nodes.select("id").join(found, "id", "left").select("id", F.round(F.coalesce("c", F.lit(0.0)) * scale, 4).alias("betweenness_centrality"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators import chunking, entities
@@ -50,8 +52,8 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("query_id").join(vectors(spark, sf_dir).withColumnRenamed("chunk_ord", "query_id"), "query_id")
 
 
-def star_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of the star schema with labels, two to a chunk: nations and regions, customers and nations, suppliers and nations."""
+def star_mentions(spark: SparkSession, sf_dir: str, customers: bool = True) -> DataFrame:
+    """Names of the star schema with labels, two to a chunk: nations and regions, customers (or none) and nations, suppliers and nations."""
     t = lambda n: table(spark, sf_dir, n)
     region, nation = t("region"), t("nation")
 
@@ -62,11 +64,12 @@ def star_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = pairs(nation.join(region, nation.n_regionkey == region.r_regionkey), F.col("n_nationkey"), "n_name", "GPE", "r_name", "LOC")
     c = t("customer").join(nation, F.col("c_nationkey") == nation.n_nationkey)
     s = t("supplier").join(nation, F.col("s_nationkey") == nation.n_nationkey)
-    return n.union(pairs(c, F.col("c_custkey") + CUSTOMERS, "c_name", "PERSON", "n_name", "DATE")).union(pairs(s, F.col("s_suppkey") + SUPPLIERS, "s_name", "ORG", "n_name", "GPE"))
+    both = n.union(pairs(c, F.col("c_custkey") + CUSTOMERS, "c_name", "PERSON", "n_name", "DATE")) if customers else n
+    return both.union(pairs(s, F.col("s_suppkey") + SUPPLIERS, "s_name", "ORG", "n_name", "GPE"))
 
 
-def star_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of the star schema; each supplier's comes again in capitals."""
+def star_triplets(spark: SparkSession, sf_dir: str, customers: bool = True) -> DataFrame:
+    """Facts of the star schema, with or without customers; each supplier's comes again in capitals."""
     t = lambda n: table(spark, sf_dir, n)
     region, nation = t("region"), t("nation")
 
@@ -82,4 +85,21 @@ def star_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
         fact(s, F.col("s_suppkey") + SUPPLIERS, F.upper(F.concat(F.lit(" "), F.col("s_name"))), "OPERATES IN", "n_name", "t"),
         fact(c, F.col("c_custkey") + 2 * SUPPLIERS, F.col("c_name"), "lives in", "n_name", "c"),
     ]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return reduce(DataFrame.union, parts if customers else parts[:3])
+
+
+def customer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parsed sentence for each customer, as a parser would give it: "Loyal <name> family orders <key> parts from new <nation>".
+
+    Every third has no verb at its root, and every third is passive.
+    """
+    both = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    kind, key = F.col("c_custkey") % 3, F.col("c_custkey").cast("string")
+    rows = [
+        ("Loyal", "loyal", "ADJ", "amod", 2), (F.col("c_name"), F.col("c_name"), "PROPN", "compound", 2), ("family", "family", "NOUN", F.when(kind == 1, "nsubjpass").otherwise("nsubj"), 3),
+        ("orders", "order", F.when(kind == 0, "NOUN").otherwise("VERB"), "ROOT", 3), (key, key, "NUM", "nummod", 5), ("parts", "part", "NOUN", "dobj", 3),
+        ("from", "from", "ADP", "prep", 3), ("new", "new", "ADJ", "amod", 8), (F.col("n_name"), F.col("n_name"), "PROPN", "pobj", 6),
+    ]
+    names = ("text", "lemma", "pos", "dep", "head_i")
+    one = [F.struct(F.lit(i).alias("i"), *((v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in zip(names, r, strict=True))) for i, r in enumerate(rows)]
+    return both.select(F.col("c_custkey").alias("chunk_ord"), F.lit(0).alias("sent_id"), F.explode(F.array(*one)).alias("t")).select("chunk_ord", "sent_id", "t.*")
