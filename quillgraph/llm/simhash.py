@@ -360,7 +360,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n_words: i
     Such texts differ in too many bits of 64 for a guarantee by bytes, so the
     fingerprints are wider, and texts are linked if they differ in at most
     ``bits_for(similarity)`` bits: the similarity that fingerprints estimate, with
-    a standard error of about 0.04. The index is the same: an entry is three of the eight
+    a standard error of about 0.06 at 0.8. The index is the same: an entry is three of the eight
     bytes of a word, lists tally pairs by it, and pairs are verified bit by bit. A
     pair is missed if no word has three bytes in common, which by the binomial
     happens to 25 % of pairs at 0.8, 10 % at 0.85, 2 % at 0.9 and 0.1 % at 0.95.
