@@ -78,3 +78,8 @@ def chunk_id(ordinal: Column) -> Column:
 def ordered_values(pairs: Column) -> Column:
     """Values of an array of (ord, value) structs, by ord."""
     return F.transform(F.array_sort(pairs), lambda p: p["value"])
+
+
+def head(values: Column, n: int | None) -> Column:
+    """The first ``n`` values of an array, or all."""
+    return values if n is None else F.slice(values, 1, n)

@@ -38,6 +38,24 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _ask() -> str:
+    try:
+        return input("? ").strip()
+    except EOFError:
+        return ""
+
+
+def _tell(got: dict) -> None:
+    """An answer, what led to it, and the chunks that it rests on."""
+    print(got["answer"])
+    for what, shown in (("entities", 10), ("nodes", 8)):
+        more = len(got[what]) - shown
+        print(f"{what}: " + (", ".join(got[what][:shown]) or "none") + (f" and {more} more" if more > 0 else ""))
+    print("hits: " + ", ".join(f"{channel} {n}" for channel, n in got["hits"].items()))
+    for t in got["trace"]:
+        print("  {rank}. chunk {chunk_ord}: vector {vector:.3f}, keyword {keyword:.3f}, graph {graph:.3f}, total {total:.3f}".format(**t))
+
+
 def main(args: list[str] | None = None) -> int:
     o = parser().parse_args(args)
     spark = SparkSession.builder.getOrCreate()
@@ -63,11 +81,9 @@ def main(args: list[str] | None = None) -> int:
                 lexical.search(asked, artifacts.read_lexical(spark, o.folder), o.top_k).orderBy("rank").show()
         elif o.command == "ask":
             with engine.Retriever(spark, o.folder, Config.from_env(provider=o.provider, model=o.model)) as r:
-                for question in [o.question] if o.question else iter(lambda: input("? ").strip(), ""):
-                    got = r.query(question)
-                    print(got["answer"])
-                    for t in got["trace"]:
-                        print(t)
+                print(", ".join(f"{n} {what}" for what, n in r.counts().items()))
+                for question in [o.question] if o.question else iter(_ask, ""):
+                    _tell(r.query(question))
         else:
             graph = artifacts.read_graph(spark, o.folder)
             if o.to:

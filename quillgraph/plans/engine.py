@@ -98,7 +98,24 @@ class Retriever:
         return both.select("query_id", "question", context.alias("context"), answer.prompt(context, F.col("question")).alias("prompt"), "trace")
 
     def query(self, question: str) -> dict:
-        """One question's answer and trace."""
+        """One question's answer and trace: its entities, the nodes that they led to, and each channel's hits."""
         asked = self.spark.createDataFrame([(0, question)], "query_id long, text string")
         row = self.retrieve(asked).first()
-        return {"answer": answer.call(row["prompt"], self.config), "context": row["context"], "trace": [t.asDict() for t in row["trace"] or []]}
+        found = self.traces(asked).first()
+        hits = {r["channel"]: r["count"] for r in self.hits(asked).groupBy("channel").count().collect()}
+        return {
+            "answer": answer.call(row["prompt"], self.config), "context": row["context"], "trace": [t.asDict() for t in row["trace"] or []],
+            "entities": found["entities"], "nodes": found["nodes"], "hits": {c: hits.get(c, 0) for c in fusion.CHANNELS},
+        }
+
+    def traces(self, questions: DataFrame, entities_shown: int | None = None, nodes_shown: int | None = None) -> DataFrame:
+        """``(query_id, entities, nodes)`` of each question, in order, cut to so many if a number is given."""
+        names = entities.query_names(questions)
+        matches = retrieve.match_nodes(names, self.graph.nodes)
+        listed = lambda df, ord_, value, n: df.groupBy("query_id").agg(T.head(T.ordered_values(F.collect_list(F.struct(F.col(ord_).alias("ord"), F.col(value).alias("value")))), n).alias("v"))
+        none = F.array().cast("array<string>")
+        both = questions.select("query_id").join(listed(names, "pos", "name", entities_shown).withColumnRenamed("v", "entities"), "query_id", "left").join(listed(matches, "pos", "id", nodes_shown).withColumnRenamed("v", "nodes"), "query_id", "left")
+        return both.select("query_id", F.coalesce("entities", none).alias("entities"), F.coalesce("nodes", none).alias("nodes"))
+
+    def counts(self) -> dict[str, int]:
+        return {"nodes": self.graph.nodes.count(), "edges": self.graph.edges.count(), "chunks": self.chunks.count()}

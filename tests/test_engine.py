@@ -49,6 +49,10 @@ def test_answers(spark, built):
         assert "[Context 1 | chunk_" in got["answer"] and "OSPF" in got["context"]
         assert [t["rank"] for t in got["trace"]] == [1, 2, 3] and got["trace"][0]["total"] >= got["trace"][1]["total"]
         assert any(t["graph"] > 0 for t in got["trace"]) and any(t["keyword"] > 0 for t in got["trace"])
+        assert got["entities"] == ["Who", "OSPF", "Acme"] and "acme" in got["nodes"] and got["hits"]["vector"] > 0
+        few = r.traces(spark.createDataFrame([(0, "Who sells OSPF routers, Acme?")], "query_id long, text string"), 2, 1).first()
+        assert few["entities"] == ["Who", "OSPF"] and len(few["nodes"]) == 1
+        assert r.counts()["chunks"] == r.chunks.count()
         many = r.retrieve(spark.createDataFrame([(0, "BGP"), (1, "zzz")], "query_id long, text string"))
         assert many.count() == 2
 
@@ -93,6 +97,16 @@ def test_cli(spark, kb, tmp_path, capsys):
     assert cli.main(["--folder", str(tmp_path / "none"), "ask", "x", "--provider", "echo"]) == 1
 
 
+def test_loop(spark, built, monkeypatch, capsys):
+    lines = iter(["Acme and OSPF?", ""])
+    monkeypatch.setattr("builtins.input", lambda _: next(lines))
+    assert cli.main(["--folder", built, "ask", "--provider", "echo"]) == 0
+    said = capsys.readouterr().out
+    assert "chunks" in said.splitlines()[0] and "entities: Acme, OSPF" in said and "hits: " in said
+    cli._tell({"answer": "a", "entities": [f"e{k}" for k in range(12)], "nodes": [], "hits": {}, "trace": []})
+    assert "e9 and 2 more" in capsys.readouterr().out
+
+
 def test_stream(spark, tmp_path):
     src, out, state = (tmp_path / x for x in ("in", "out", "state"))
     src.mkdir()

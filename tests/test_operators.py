@@ -99,6 +99,25 @@ def test_resolution_by_first_character_is_the_sequential_one(spark):
     assert {r.signature: r.canonical for r in got} == want
 
 
+def test_blocks_without_a_canonical_name(spark, monkeypatch):
+    """Names whose first characters are misspelt join other blocks, one after another, and chains of them end at one name."""
+    monkeypatch.setattr(R, "AHEAD", 2)
+    rng = random.Random(5)
+    stems = ["abc international trading harbour north", "abd international trading harbour north", "axc international trading harbour north"]
+    names = [stems[0]]
+    for k in range(60):
+        stem = rng.choice(stems)
+        i = rng.randrange(8, len(stem))
+        names.append(stem[:i] + rng.choice(["", "q", "z"]) + stem[i + (k % 2) :])
+    names += ["zeta works", "abq", "ab"]
+    one, want = R.Resolver(), {}
+    for n in names:
+        want[" ".join(n.split())] = one.add(" ".join(n.split()))
+    got = {r.signature: r.canonical for r in R.resolve(spark.createDataFrame(list(enumerate(names)), "ord long, text string").repartition(3)).collect()}
+    assert got == want and len({s[:3] for s, c in got.items() if c[:3] != s[:3]}) >= 1
+    assert R.resolve(spark.createDataFrame([], "ord long, text string")).count() == 0
+
+
 def graph_of(spark, mentions, triplets=()):
     m = spark.createDataFrame(mentions, "chunk_ord long, ent_pos int, text string, label string")
     t = spark.createDataFrame(list(triplets), "triplet_ord long, subject string, predicate string, object string, chunk_id string")
