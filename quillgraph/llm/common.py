@@ -206,15 +206,6 @@ def window_hashes(h: np.ndarray, width: int, base: int = 0x9DDFEA08EB382D69) ->
     return mix((total[width:] - total[:-width]) * down[:n])
 
 
-def run_hashes(h: np.ndarray, starts: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of each run of hashes, from each start to the next: a polynomial in an odd base, and the run's length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(base, len(h))
-    total, end = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])]), np.append(starts[1:], len(h))
-    return mix((total[end] - total[starts]) * down[starts] + mix((end - starts).astype(np.uint64)))
-
-
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of each run, one run after another."""
     total = int(lengths.sum())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, cut, joined, mapped, mix, prepare, ragged, run_hashes, slices, span_hashes, stored, tasks, utf8, window_hashes, words
+from .common import column, cut, joined, mapped, prepare, ragged, slices, span_hashes, stored, tasks, utf8, window_hashes, words
 
 #: Words of the sampled grams whose least hash stands for a window in the sketch.
 GRAM = 16
@@ -125,10 +125,17 @@ def _frequent(docs: DataFrame, width: int, hot: int, bits: int | None) -> tuple[
     return bits, [r.tobytes() for r in rows]
 
 
+def digests(own: bytes, to: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of the SHA-256 of each span of words, joined by single spaces: two 64-bit numbers a span."""
+    found = [hashlib.sha256(own[x:y]).digest()[:16] for x, y in zip(to[begin].tolist(), (to[end] - 1).tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
+
+
 def _runs(batch: pa.RecordBatch, width: int, bits: int, rows: list[np.ndarray], hot_ones: bool):
     """A slice's windows that the sketch holds to be repeated, the hot ones or the others, a row for a run of equal ones, which a word said over and over makes.
 
-    Two hashes of the words, where the run starts, how many windows it has, and its text's index.
+    The digest of a window's words, where the run starts, how many windows it has, its text's index, and a
+    function that gives the digests of all words in the windows of adjoining runs.
     """
     raw, offsets = utf8(column(batch, "text"))
     starts, ends, first = words(raw, offsets)
@@ -145,30 +152,36 @@ def _runs(batch: pa.RecordBatch, width: int, bits: int, rows: list[np.ndarray],
     if not keep.any():
         return None
     at, text = at[keep], text[keep]
-    a = window_hashes(h, width)[at]
-    b = window_hashes(span_hashes(raw, starts, ends, 2), width, 0xE7037ED1A0B428DB)[at]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])]))
+    own, to = joined(raw, starts, ends)
+    key = digests(own, to, at, at + width)
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])]))
     n = np.diff(np.append(new, len(at)))
-    return a[new], b[new], at[new] - first[text[new]], n, text[new]
+    begin = at[new]
+
+    def whole(start: np.ndarray) -> np.ndarray:
+        last = np.append(start[1:], len(begin)) - 1
+        return digests(own, to, begin[start], begin[last] + n[last] - 1 + width)
+
+    return key[new], begin - first[text[new]], n, text[new], whole
 
 
-def _narrow(b: np.ndarray) -> pa.Array:
-    return pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32))
+def _halves(key: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(key[:, k]).view(np.int64)) for k in (0, 1)]
 
 
 def _candidates(batches, width: int, bits: int, sketch):
-    """Windows that are repeated but not hot: a 96-bit hash of their words, and where they start."""
+    """Windows that are repeated but not hot: the digest of their words, and where they start."""
     rows = [np.frombuffer(r, np.uint8) for r in sketch.value]
     for batch in batches:
         for part in slices(batch):
             found = _runs(part, width, bits, rows, False)
             if found is None:
                 continue
-            a, b, at, n, text = found
-            key, print_ = column(part, "doc_id").to_numpy(zero_copy_only=False)[text], column(part, "text_id").to_numpy()[text]
+            key, at, n, text, _ = found
+            doc, print_ = column(part, "doc_id").to_numpy(zero_copy_only=False)[text], column(part, "text_id").to_numpy()[text]
             for i in range(0, len(at), 1 << 18):
                 j = slice(i, i + (1 << 18))
-                cols = [pa.array(a[j].view(np.int64)), _narrow(b[j]), pa.array(key[j].astype(np.int64)), pa.array(print_[j]), pa.array(at[j].astype(np.int32)), pa.array(n[j].astype(np.int32))]
+                cols = [*_halves(key[j]), pa.array(doc[j].astype(np.int64)), pa.array(print_[j]), pa.array(at[j].astype(np.int32)), pa.array(n[j].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "doc_id", "text_id", "at", "n"])
 
 
@@ -180,22 +193,19 @@ def segment_starts(a: np.ndarray, at: np.ndarray, n: np.ndarray, text: np.ndarra
 
 
 def _segments(batches, width: int, bits: int, sketch):
-    """Segments of hot windows: a 96-bit hash of all their words, where they start, and the runs in them."""
+    """Segments of hot windows: the digest of all their words, where they start, and the runs in them."""
     rows = [np.frombuffer(r, np.uint8) for r in sketch.value]
     for batch in batches:
         for part in slices(batch):
             found = _runs(part, width, bits, rows, True)
             if found is None:
                 continue
-            a, b, at, n, text = found
-            start = segment_starts(a, at, n, text)
-            whole = np.add.reduceat(n, start)
-            times = mix(n.astype(np.uint64))
-            sa, sb = run_hashes(mix(a ^ times), start, 0x9DDFEA08EB382D69), run_hashes(mix(b ^ times), start, 0xE7037ED1A0B428DB)
-            runs = pa.StructArray.from_arrays([pa.array(a.view(np.int64)), _narrow(b), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "g", "at", "n"])
+            key, at, n, text, whole = found
+            start = segment_starts(key[:, 0], at, n, text)
+            runs = pa.StructArray.from_arrays([*_halves(key), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "g", "at", "n"])
             runs = pa.ListArray.from_arrays(pa.array(np.append(start, len(at)).astype(np.int32)), runs)
-            key, print_ = column(part, "doc_id").to_numpy(zero_copy_only=False)[text[start]], column(part, "text_id").to_numpy()[text[start]]
-            cols = [pa.array(sa.view(np.int64)), _narrow(sb), pa.array(key.astype(np.int64)), pa.array(print_), pa.array(at[start].astype(np.int32)), pa.array(whole.astype(np.int32)), runs]
+            doc, print_ = column(part, "doc_id").to_numpy(zero_copy_only=False)[text[start]], column(part, "text_id").to_numpy()[text[start]]
+            cols = [*_halves(whole(start)), pa.array(doc.astype(np.int64)), pa.array(print_), pa.array(at[start].astype(np.int32)), pa.array(np.add.reduceat(n, start).astype(np.int32)), runs]
             whole_batch = pa.RecordBatch.from_arrays(cols, names=["h", "g", "doc_id", "text_id", "at", "n", "runs"])
             for i in range(0, len(start), 1 << 14):
                 yield whole_batch.slice(i, 1 << 14)
@@ -227,7 +237,7 @@ def _apply(batches, width: int, texts: bool):
 
 def _text_id() -> F.Column:
     """Tells texts of one doc_id apart."""
-    return F.shiftright(F.xxhash64("text"), 32).cast("int")
+    return F.xxhash64("text")
 
 
 def _late_hot(segments: DataFrame) -> DataFrame:
@@ -241,7 +251,7 @@ def _late_hot(segments: DataFrame) -> DataFrame:
     keys = ["h", "g"]
     least = segments.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(*keys, "low")
     met = segments.join(stored(least, "least"), keys, "left")
-    none = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("g"), "at", "n"))
+    none = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("g"), "at", "n"))
     shown = met.select("doc_id", "text_id", F.explode(F.when(F.col("doc_id") > F.col("low"), none).otherwise(F.col("runs"))).alias("r"))
     shown = cut(shown.select("doc_id", "text_id", "r.*"))
     alone = shown.where("h is not null")
@@ -258,8 +268,8 @@ def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT, bits: int
     least hash of its 16-word grams, which equal windows share, so its count is
     never underestimated; and as neighbours mostly share that gram, the sketch
     gets a seventeenth of the windows. Pass two: windows that the sketch holds to
-    occur twice or more, which are all that do, are grouped exactly, by 96 bits
-    of two independent hashes of their words. A fuller sketch lets more through
+    occur twice or more, which are all that do, are grouped exactly, by 128 bits
+    of the SHA-256 of their words. A fuller sketch lets more through
     and loses none. Hot windows are grouped by whole segments first
     (``_late_hot``), pre-aggregated to the smallest document and then joined,
     where skewed partitions are split; the others' groups are bounded, and one
@@ -270,10 +280,10 @@ def repeated_windows(docs: DataFrame, width: int = 50, hot: int = HOT, bits: int
     bits, rows = _frequent(plain, width, hot, bits)
     sketch = spark.sparkContext.broadcast(rows)
     named = plain.withColumn("text_id", _text_id())
-    row = "h long, g int, doc_id long, text_id int, at int, n int"
+    row = "h long, g long, doc_id long, text_id long, at int, n int"
     cold = mapped(named, lambda b: _candidates(b, width, bits, sketch), row)
     # the hot segments are read twice, the other windows once: these aren't stored
-    warm = stored(mapped(named, lambda b: _segments(b, width, bits, sketch), row + ", runs array<struct<h:long,g:int,at:int,n:int>>"), "segments")
+    warm = stored(mapped(named, lambda b: _segments(b, width, bits, sketch), row + ", runs array<struct<h:long,g:long,at:int,n:int>>"), "segments")
     early = cold.withColumn("low", F.min("doc_id").over(Window.partitionBy("h", "g"))).where("doc_id > low")
     return _late_hot(warm).union(early.select("doc_id", "text_id", "at", "n"))
 
