@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, cut, mapped, mix, slices, span_hashes, stored, tasks, utf8, window_hashes, words
@@ -21,7 +21,7 @@ ENTRY = 3
 #: Rows of one posting list that are compared with each other; longer lists go by shared witnesses.
 LONGEST = 4096
 #: 64-bit words of the fingerprints that tell texts alike by 0.8 and more.
-WIDE = 3
+WIDE = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -232,15 +232,21 @@ def bits_for(similarity: float, n_words: int) -> int:
     return math.floor(math.acos(2 * similarity / (1 + similarity)) / math.pi * 64 * n_words)
 
 
+def candidate_bits(similarity: float, n_words: int) -> int:
+    """``bits_for`` and two standard deviations: 98 % of pairs of that similarity differ in no more."""
+    size, bits = 64 * n_words, bits_for(similarity, n_words)
+    return math.floor(bits + 2 * math.sqrt(bits * (1 - bits / size)))
+
+
 def _wide_prints(raw: np.ndarray, offsets: np.ndarray, width: int, n_words: int) -> np.ndarray:
-    """Each text's fingerprint of ``n_words`` 64-bit words over ``width``-word shingles."""
+    """Each text's fingerprint of ``n_words`` 64-bit words over its distinct ``width``-word shingles."""
     starts, ends, first = words(raw, offsets)
     h = span_hashes(_LOWER[raw], starts, ends, 11)
     shingles, out = window_hashes(h, width), np.zeros((len(first) - 1, n_words), np.uint64)
     salts = [np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(n_words)]
     for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         if b > a:
-            own = shingles[a : b - width + 1] if b - a >= width else window_hashes(h[a:b], b - a)
+            own = np.unique(shingles[a : b - width + 1] if b - a >= width else window_hashes(h[a:b], b - a))
             tally = np.zeros(64 * n_words, np.int64)
             for at in range(0, len(own), 4096):
                 many = np.stack([mix(own[at : at + 4096] + salt) for salt in salts], axis=1)
@@ -273,8 +279,18 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1)
 
 
+def _closest(fp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the pairs (x, y) the closest one of each x."""
+    apart = np.concatenate([_apart(fp[x[k : k + (1 << 19)]], fp[y[k : k + (1 << 19)]]) for k in range(0, len(x), 1 << 19)])
+    order = np.lexsort((y, apart, x))
+    x, y = x[order], y[order]
+    first = np.concatenate([[True], x[1:] != x[:-1]])
+    return np.stack((x[first], y[first]))
+
+
 def _wide_lists(batches, bits: int, longest: int):
-    """Rows sorted by key → links (a, b) of each posting list: a spanning forest of its close pairs, which are checked bit by bit.
+    """Rows sorted by key → candidates (a, b) of each posting list: of its pairs that are close bit by bit, a spanning
+    forest, and each row with the closest before it and the closest after it.
 
     The rows of a list over ``longest`` are compared with its leaders, rows that
     were close to none before them, as they come; only leaders are kept.
@@ -291,7 +307,10 @@ def _wide_lists(batches, bits: int, longest: int):
             left.append(at + i[at + i < j])
             right.append(j[at + i < j])
         i, j = np.concatenate(left), np.concatenate(right)
-        return _spanning(i, j) if len(i) else (i, j)
+        if not len(i):
+            return i, j
+        nearest = [np.unique(_spanning(i, j), axis=1), *(_closest(fp, x, y) for x, y in ((i, j), (j, i)))]
+        return tuple(np.concatenate([np.stack((n.max(axis=0), n.min(axis=0))) for n in nearest], axis=1))
 
     def lists(key, fp):
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -354,16 +373,40 @@ def _wide_lists(batches, bits: int, longest: int):
         yield from lists(rest_k, rest_f)
 
 
+def _shingle_sets(batches, width: int):
+    """Each text's distinct shingles, as sorted 64-bit hashes."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            raw, offsets = utf8(column(part, "text"))
+            starts, ends, first = words(raw, offsets)
+            h = span_hashes(_LOWER[raw], starts, ends, 11)
+            shingles, sets = window_hashes(h, width), []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                sets.append(np.unique(shingles[a : b - width + 1] if b - a >= width else window_hashes(h[a:b], max(1, b - a))).view(np.int64))
+            at = np.cumsum([0, *(len(x) for x in sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), lists], names=["v", "shingles"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose ``sets(v, shingles)`` have a Jaccard similarity of at least ``similarity``."""
+    side = lambda v: sets.select(F.col("v").alias(v), F.col("shingles").alias(f"s{v}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(F.try_divide(shared, F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b")
+
+
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n_words: int = WIDE, longest: int = LONGEST) -> DataFrame:
-    """``(doc_id, component_id)``: groups of texts whose SimHash says that their five-word shingles are alike by 0.8 and more.
+    """``(doc_id, component_id)``: groups that texts form whose five-word shingles are alike by 0.8 and more (Jaccard).
 
     Such texts differ in too many bits of 64 for a guarantee by bytes, so the
-    fingerprints are wider, and texts are linked if they differ in at most
-    ``bits_for(similarity)`` bits: the similarity that fingerprints estimate, with
-    a standard error of about 0.06 at 0.8. The index is the same: an entry is three of the eight
-    bytes of a word, lists tally pairs by it, and pairs are verified bit by bit. A
-    pair is missed if no word has three bytes in common, which by the binomial
-    happens to 25 % of pairs at 0.8, 10 % at 0.85, 2 % at 0.9 and 0.1 % at 0.95.
+    fingerprints are wider. The index is the same: an entry is three of the eight
+    bytes of a word, lists tally pairs by it, and pairs that differ in at most
+    ``candidate_bits`` are candidates. These are verified on the shingles
+    themselves: first each text with its closest candidate, then the candidates
+    that this leaves in different groups, so that a large group of near copies
+    isn't compared text by text. A pair is no candidate if no word has three
+    bytes in common, which the README gives figures for.
 
     Texts with one fingerprint form a class, which is indexed once; texts without
     words are one class. A null text has no words, a null doc_id takes no part, and
@@ -375,19 +418,35 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n_words: i
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), *_columns(_wide_prints(*utf8(column(part, "text")), width, n_words))], names=["doc_id", *fields])
-
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    prints = cut(mapped(plain, run, f"doc_id long, {shape}"))
-    classes = stored(prints.groupBy(*fields).agg(F.min("doc_id").alias("least")), "classes")
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "text_id"), *_columns(_wide_prints(*utf8(column(part, "text")), width, n_words))], names=["doc_id", "text_id", *fields])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    plain = plain.withColumn("text_id", F.xxhash64("text"))
+    prints = cut(mapped(plain, run, f"doc_id long, text_id long, {shape}"))
+    # rows that share a doc_id can be of several classes: a class is named by its smallest id and text
+    classes = prints.groupBy(*fields).agg(F.min(F.struct("doc_id", "text_id")).alias("least"))
+    classes = stored(classes.select(*fields, "least.*", F.xxhash64("least").alias("v")), "classes")
     entries = mapped(classes.select(*fields), _wide_entries, f"key long, {shape}")
-    bits = bits_for(similarity, n_words)
+    bits = candidate_bits(similarity, n_words)
     ordered = entries.repartition(tasks(docs.sparkSession), "key").sortWithinPartitions("key", *fields)
     close = mapped(ordered, lambda b: _wide_lists(b, bits, longest), ", ".join(f"{side}{k} long" for side in "ab" for k in range(n_words))).distinct()
-    name = lambda side: classes.select(*(F.col(f).alias(f"{side}{k}") for k, f in enumerate(fields)), F.col("least").alias(side))
-    pairs = close.join(name("a"), [f"a{k}" for k in range(n_words)]).join(name("b"), [f"b{k}" for k in range(n_words)]).select("a", "b")
-    parts = connected_components(pairs).withColumnRenamed("v", "least")
-    whole = stored(classes.join(parts, "least", "left").select(*fields, F.coalesce("component", "least").alias("component_id")), "groups")
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(n_words)), F.lit(0))
+    name = lambda side: classes.select(*(F.col(f).alias(f"{side}{k}") for k, f in enumerate(fields)), F.col("v").alias(side))
+    pairs = close.withColumn("apart", apart).join(name("a"), [f"a{k}" for k in range(n_words)]).join(name("b"), [f"b{k}" for k in range(n_words)])
+    pairs = stored(pairs.select("a", "b", "apart", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b")).alias("place")), "pairs")
+
+    needed = stored(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v").select("doc_id", "text_id", "v"), "needed")
+    texts = plain.join(needed, ["doc_id", "text_id"]).select(F.col("v").alias("doc_id"), "text")
+    sets = stored(mapped(texts, lambda b: _shingle_sets(b, width), "v long, shingles array<long>").dropDuplicates(["v"]), "shingles")
+    good = stored(verified(pairs.where("place = 1"), sets, similarity), "good")
+    group = connected_components(good)
+    of = lambda side: group.select(F.col("v").alias(side), F.col("component").alias(f"c{side}"))
+    rest = pairs.where("place > 1").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+    parts = connected_components(good.union(verified(rest, sets, similarity)))
+
+    named = classes.join(parts, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    least = stored(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    whole = stored(named.join(least, "component").select(*fields, "component_id"), "groups")
     return prints.join(whole, fields).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 

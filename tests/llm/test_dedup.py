@@ -72,7 +72,7 @@ def test_drop_near_duplicates(spark, odd):
     assert len({groups[i] for i, t in rows.items() if t == rows[5]}) == 1
     for i, c in groups.items():
         if i != c:
-            assert any(j != i and groups[j] == c and (rows[i] == rows[j] or len(shingles(rows[i]) & shingles(rows[j])) >= 0.6 * len(shingles(rows[i]) | shingles(rows[j]))) for j in rows)
+            assert any(j != i and groups[j] == c and (rows[i] == rows[j] or len(shingles(rows[i]) & shingles(rows[j])) >= 0.8 * len(shingles(rows[i]) | shingles(rows[j]))) for j in rows)
 
 
 @pytest.mark.parametrize("longest", [simhash.LONGEST, 3])
@@ -99,6 +99,35 @@ def test_near_copies_are_found(spark, longest):
     assert not any(got[a] == got[b] for a, b in far)
 
 
+def test_groups_are_verified(spark, monkeypatch):
+    """Every candidate is compared on its shingles: loose bits change no group, and one passage said over and over makes no copies."""
+    import random
+
+    rng = random.Random(3)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    spam = prose(5) * 200
+    texts = [" ".join(spam + prose(100)) for _ in range(4)]
+    for share in (0.7, 0.78, 0.82, 0.9):
+        base = prose(300)
+        other = base[: round(300 * 2 * share / (1 + share))]
+        texts += [" ".join(base), " ".join(other + prose(300 - len(other)))]
+    chain = prose(200)
+    for _ in range(30):  # near copies of near copies
+        chain = chain[8:] + prose(8)
+        texts.append(" ".join(chain))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    pairs = [(j, i) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = components(range(len(texts)), pairs)
+    for bits in (simhash.candidate_bits(0.8, 4), 100):
+        monkeypatch.setattr(simhash, "candidate_bits", lambda *_, bits=bits: bits)
+        for longest in (simhash.LONGEST, 2):
+            got = {r.doc_id: r.component_id for r in simhash.similar(df, longest=longest).collect()}
+            assert all(want[i] == want[c] for i, c in got.items())
+            assert all(got[i] == i for i in range(8))
+        assert len(set(got.values())) <= len(set(want.values())) + 3
+
+
 def test_wide_lists_cut_at_any_batch():
     import pyarrow as pa
 
