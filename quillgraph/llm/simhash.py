@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, longest: int = LONGEST) ->
     fps = cut(fingerprints(docs, width))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = connected_components(links(classes.select("fp"), longest))
-    owner = parts.join(classes, parts.v == classes.fp).groupBy("component").agg(F.min("least").alias("component_id"))
+    owner = stored(parts.join(classes, parts.v == classes.fp).groupBy("component").agg(F.min("least").alias("component_id")), "owners")
     named = parts.join(owner, "component").select(F.col("v").alias("fp"), "component_id")
     whole = cut(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return fps.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
