@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, mapped, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,18 +42,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large stars and small stars (Kiveris et al. 2014): each round
     hangs neighbours on the smallest vertex in reach, so the number of rounds
     grows with the logarithm of the longest chain. A hub's edges are only
-    counted and joined, never gathered in one row, and what they are joined with
-    is stored first, so that Spark broadcasts it by its true size or splits the
-    hub's partition. Null ends are dropped; no edges give no rows.
+    counted and joined, never gathered in one row, and the minimum they are joined
+    with is stored first, so that Spark broadcasts it by its true size or splits
+    the hub's partition. Null ends are dropped; no edges give no rows.
     """
     stars = "v long, r long"
-    now = edges.where("a <> b").select("a", "b").mapInArrow(_contract, stars)
+    now = mapped(edges.where("a <> b").select("a", "b"), _contract, stars)
     now = cut(now.distinct())
     while True:
         both = now.select("v", "r").union(now.select(F.col("r").alias("v"), F.col("v").alias("r")))
         least = stored(both.groupBy("v").agg(F.min("r").alias("m")).select("v", F.least("v", "m").alias("m")), "least")
-        large = stored(both.where("r > v").join(least, "v").select(F.col("r").alias("v"), F.col("m").alias("r")).distinct(), "large")
-        small_least = stored(large.groupBy("v").agg(F.min("r").alias("m")), "small")
+        large = both.where("r > v").join(least, "v").select(F.col("r").alias("v"), F.col("m").alias("r")).distinct()
+        # a vertex has few smaller neighbours, one for each task that met it
+        small_least = large.groupBy("v").agg(F.min("r").alias("m"))
         small = large.join(small_least, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("r")), F.struct(F.col("r").alias("v"), F.col("m").alias("r")))).alias("e"))
         then = cut(small.select("e.v", "e.r").where("v <> r").distinct())
         settled = then.groupBy("v").count().where("count > 1").isEmpty() and then.select("r").distinct().join(then.select(F.col("v").alias("r")), "r", "left_semi").isEmpty()

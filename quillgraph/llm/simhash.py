@@ -193,10 +193,10 @@ def links(distinct: DataFrame, longest: int = LONGEST) -> DataFrame:
     2,081 rows a member, pre-aggregated to a minimum for each witness, and no
     pair is lost.
     """
-    entries = distinct.select("fp").mapInArrow(_entries, "key long, fp long")
+    entries = mapped(distinct.select("fp"), _entries, "key long, fp long")
     sorted_ = entries.repartition(tasks(distinct.sparkSession), "key").sortWithinPartitions("key")
-    found = cut(sorted_.mapInArrow(lambda batches: _compare(batches, longest), "a long, b long"))
-    near = found.where("b is null").select(F.col("a").alias("fp")).distinct().mapInArrow(_witnesses, "z long, fp long")
+    found = cut(mapped(sorted_, lambda batches: _compare(batches, longest), "a long, b long"))
+    near = mapped(found.where("b is null").select(F.col("a").alias("fp")).distinct(), _witnesses, "z long, fp long")
     # each witness's members hang on the smallest of them; a lone member hangs on itself
     least = near.groupBy("z").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m < x")
     met = near.join(least.select("z", "m"), "z").where("fp > m").select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct()
