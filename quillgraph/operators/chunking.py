@@ -39,13 +39,12 @@ def windows(sections: DataFrame, keys: list[str], target: int = 512, overlap: in
     """
     reach = max(target, 128)
     back = min(max(overlap, 0), reach // 2)
-    units = sections.withColumn("units", T.sentences(F.col("text")))
+    # an empty sentence at the end marks where the text ends
+    units = sections.withColumn("units", F.array_append(T.sentences(F.col("text")), F.lit("")))
     # an inner explosion would make Spark infer a filter, which would split the sentences twice
     each = units.select(*keys, F.posexplode_outer("units").alias("i", "s")).where("i is not null").withColumn("len", F.length("s") + 1)
     order = Window.partitionBy(*keys).orderBy("i")
-    placed = each.withColumn("p", F.sum("len").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("len"))
-    last = placed.groupBy(*keys).agg((F.max("i") + 1).alias("i"), F.sum("len").alias("p"), F.max(F.lit("")).alias("s"))
-    rows = placed.select(*keys, "i", "p", "s").unionByName(last.select(*keys, "i", "p", "s"))
+    rows = each.withColumn("p", F.sum("len").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("len")).select(*keys, "i", "p", "s")
     along = Window.partitionBy(*keys).orderBy("p")
     n = F.count("*")
     framed = rows.withColumn("fit", n.over(along.rangeBetween(1, reach + 1))).withColumn("rewind", n.over(along.rangeBetween(-(back + 1), -1)))
