@@ -200,7 +200,7 @@ def _streamed(both: DataFrame, group: str, load, run, schema: str) -> DataFrame:
             starts = np.flatnonzero(column(batch, "query_id").is_null().to_numpy(zero_copy_only=False))
             if len(starts) == 0 or starts[0] > 0:
                 yield from run(head, batch.slice(0, starts[0] if len(starts) else batch.num_rows)) if batch.num_rows else ()
-            for a, b in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+            for a, b in zip(starts, np.append(starts, batch.num_rows)[1:], strict=True):  # none, if a group goes on through a whole batch
                 head = load(batch, int(a))
                 if b > a + 1:
                     yield from run(head, batch.slice(a + 1, b - a - 1))

@@ -278,6 +278,21 @@ def test_neighbours_blocks(spark, monkeypatch):
     assert {q: [r[2] for r in v] for q, v in got.items()} == {q: [w[0] for w in v] for q, v in want.items()}
 
 
+@pytest.mark.parametrize("need", [40, 10**6])
+def test_neighbours_groups_over_a_batch(spark, need):
+    """A part's or a block's queries can fill whole Arrow batches, which then hold no head."""
+    rng = np.random.default_rng(8)
+    df, size = frame(spark, np.arange(600) * 10, rng.normal(size=(600, 12))), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    found, before = [], spark.conf.get(size)
+    try:
+        for n in (before, "4"):
+            spark.conf.set(size, n)
+            found.append(check_ranks(forest.search(df, trees=5, candidates=need).collect()))
+    finally:
+        spark.conf.set(size, before)
+    assert found[0] == found[1] and len(found[0]) == 60
+
+
 def test_neighbours_of_each_dimension(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (100, [1.0, 0.0, 0.0]), (3, [1.0, 0.2, 0.0])]
     got = forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
