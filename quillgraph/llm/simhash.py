@@ -263,11 +263,11 @@ def _rows(batch: pa.RecordBatch, start: int) -> np.ndarray:
     return np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(start, batch.num_columns)], axis=1)
 
 
-def _wide_entries(batches):
-    """Index entries: three of the eight bytes of each word, one entry for each choice of them."""
+def _wide_entries(batches, start: int = 0):
+    """Index entries: three of the eight bytes of each word, one entry for each choice of them. Words begin at column ``start``."""
     chosen = list(combinations(range(N_BYTES), ENTRY))
     for batch in batches:
-        fp = _rows(batch, 0)
+        fp = _rows(batch, start)
         for k in range(fp.shape[1]):
             part = np.ascontiguousarray(fp[:, k]).view(np.uint8).reshape(-1, 8).astype(np.int64)
             for c, (x, y, z) in enumerate(chosen):
@@ -293,7 +293,8 @@ def _wide_lists(batches, bits: int, longest: int):
     forest, and each row with the closest before it and the closest after it.
 
     The rows of a list over ``longest`` are compared with its leaders, rows that
-    were close to none before them, as they come; only leaders are kept.
+    were close to none before them, as they come; only leaders are kept. These rows
+    are paired with themselves as well, which marks them for ``_across``.
     """
     names: list[str] = []
 
@@ -322,6 +323,8 @@ def _wide_lists(batches, bits: int, longest: int):
             own = fp[at : at + n]
             i, j = pairs(own) if n <= longest else led(own, [])
             found.append((own[i], own[j]))
+            if n > longest:
+                found.append((own, own))
         x, y = (np.concatenate(z) for z in zip(*found, strict=True))
         if len(x):
             yield out(x, y)
@@ -356,6 +359,8 @@ def _wide_lists(batches, bits: int, longest: int):
             if len(i):
                 everyone = np.concatenate([known, fp[:n]])
                 yield out(everyone[i], everyone[j])
+            if n:
+                yield out(fp[:n], fp[:n])
             key, fp = key[n:], fp[n:]
             if not len(key):
                 continue
@@ -368,11 +373,43 @@ def _wide_lists(batches, bits: int, longest: int):
             i, j = led(rest_f, leaders)
             if len(i):
                 yield out(rest_f[i], rest_f[j])
+            yield out(rest_f, rest_f)
             over, rest_k, rest_f = rest_k[0], rest_k[:0], rest_f[:0]
     if len(rest_k):
         yield from lists(rest_k, rest_f)
 
 
+def _across(batches, bits: int):
+    """Rows (key, component, v, fingerprint) sorted by key and component → all pairs (a, b) of different components that a
+    posting list has and that are close bit by bit. One list is held at a time.
+    """
+
+    def lists(rows):
+        start = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else np.zeros(0, np.int64)
+        for own in np.split(rows, start[1:]):
+            v, fp = own[:, 2], own[:, 3:].view(np.uint64)
+            begin = np.flatnonzero(np.concatenate([[True], own[1:, 1] != own[:-1, 1]]))
+            for a, b in zip(begin[:-1], begin[1:], strict=True):  # a component and the rows of those after it
+                step = max(1, (1 << 19) // (len(own) - b))
+                for at in range(a, b, step):
+                    i, j = np.nonzero(_apart(fp[at : min(at + step, b), None], fp[None, b:]) <= bits)
+                    if len(i):
+                        x, y = v[at + i], v[b + j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = _rows(batch, 0).view(np.int64)
+        rows = rows if rest is None else np.concatenate([rest, rows])
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0], side="left"))
+        yield from lists(rows[:last]) if last else ()
+        rest = rows[last:]
+    if rest is not None:
+        yield from lists(rest)
+
+
 def _shingle_sets(batches, width: int):
     """Each text's distinct shingles, as sorted 64-bit hashes."""
     for batch in batches:
@@ -396,6 +433,13 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.try_divide(shared, F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b")
 
 
+def _apart_in(pairs: DataFrame, group: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different groups, ``ca`` and ``cb``, of ``group(v, component)``."""
+    of = lambda side: group.select(F.col("v").alias(side), F.col("component").alias(f"c{side}"))
+    both = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+
+
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n_words: int = WIDE, longest: int = LONGEST) -> DataFrame:
     """``(doc_id, component_id)``: groups that texts form whose five-word shingles are alike by 0.8 and more (Jaccard).
 
@@ -405,8 +449,12 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n_words: i
     ``candidate_bits`` are candidates. These are verified on the shingles
     themselves: first each text with its closest candidate, then the candidates
     that this leaves in different groups, so that a large group of near copies
-    isn't compared text by text. A pair is no candidate if no word has three
-    bytes in common, which the README gives figures for.
+    isn't compared text by text. Lists name only some of their close pairs; so the
+    members of groups that are still apart though candidates join them, and of
+    lists over ``longest``, go through the index again, which names all close pairs
+    of different groups. The groups are then those of all close pairs, whatever
+    the lists' lengths. A pair is no candidate if no word has three bytes in
+    common, which the README gives figures for.
 
     Texts with one fingerprint form a class, which is indexed once; texts without
     words are one class. A null text has no words, a null doc_id takes no part, and
@@ -433,16 +481,33 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n_words: i
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(n_words)), F.lit(0))
     name = lambda side: classes.select(*(F.col(f).alias(f"{side}{k}") for k, f in enumerate(fields)), F.col("v").alias(side))
     pairs = close.withColumn("apart", apart).join(name("a"), [f"a{k}" for k in range(n_words)]).join(name("b"), [f"b{k}" for k in range(n_words)])
-    pairs = stored(pairs.select("a", "b", "apart", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b")).alias("place")), "pairs")
+    pairs = stored(pairs.select("a", "b", "apart", F.row_number().over(Window.partitionBy("a").orderBy(F.col("a") == F.col("b"), "apart", "b")).alias("place")), "pairs")
 
     needed = stored(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v").select("doc_id", "text_id", "v"), "needed")
     texts = plain.join(needed, ["doc_id", "text_id"]).select(F.col("v").alias("doc_id"), "text")
     sets = stored(mapped(texts, lambda b: _shingle_sets(b, width), "v long, shingles array<long>").dropDuplicates(["v"]), "shingles")
+    long, pairs = pairs.where("a = b").select(F.col("a").alias("v")), pairs.where("a <> b")
     good = stored(verified(pairs.where("place = 1"), sets, similarity), "good")
-    group = connected_components(good)
-    of = lambda side: group.select(F.col("v").alias(side), F.col("component").alias(f"c{side}"))
-    rest = pairs.where("place > 1").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    parts = connected_components(good.union(verified(rest, sets, similarity)))
+    rest = _apart_in(pairs.where("place > 1"), connected_components(good))
+    good = good.union(stored(verified(rest, sets, similarity), "more"))
+    parts = connected_components(good)
+
+    # a pair that no list named lies between groups that named pairs join, of which an end has more than one
+    ends = lambda df, *cs: df.select(F.explode(F.array(*cs)).alias("v"))
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    several = stored(ends(known, "a", "b").groupBy("v").count().where("count > 1").select("v"), "several")
+    failed = stored(_apart_in(pairs, parts), "apart")
+    failed = failed.join(several.withColumnRenamed("v", "a"), "a", "left_semi").union(failed.join(several.withColumnRenamed("v", "b"), "b", "left_semi").select(failed.columns))
+    group = classes.join(parts, "v", "left").select(F.coalesce("component", "v").alias("c"), "v", *fields)
+    again = group.join(ends(failed, "ca", "cb").select(F.col("v").alias("c")).distinct(), "c", "left_semi").union(group.join(long, "v", "left_semi").select(group.columns))
+    again = stored(again.distinct(), "again")
+    if not again.isEmpty():
+        entries = mapped(again, lambda b: _wide_entries(b, 2), f"key long, c long, v long, {shape}")
+        mixed = entries.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
+        ordered = entries.join(mixed, "key", "left_semi").repartition(tasks(docs.sparkSession), "key").sortWithinPartitions("key", "c")
+        across = mapped(ordered, lambda b: _across(b, bits), "a long, b long").distinct().join(known, ["a", "b"], "left_anti")
+        across = stored(verified(across, sets, similarity), "across")
+        parts = parts if across.isEmpty() else connected_components(good.union(across))
 
     named = classes.join(parts, "v", "left").withColumn("component", F.coalesce("component", "v"))
     least = stored(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")

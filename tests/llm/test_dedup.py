@@ -128,6 +128,29 @@ def test_groups_are_verified(spark, monkeypatch):
         assert len(set(got.values())) <= len(set(want.values())) + 3
 
 
+@pytest.mark.parametrize("longest", [simhash.LONGEST, 7, 2])
+def test_groups_do_not_depend_on_lists(spark, longest):
+    """The groups are those of all candidates whose shingles are alike, however many rows a posting list may have."""
+    import random
+
+    import pyarrow as pa
+
+    from quillgraph.llm.common import utf8
+
+    rng = random.Random(2)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, spans, texts = prose(240), [prose(6) for _ in range(120)], []
+    for _ in range(150):  # copies with some passages changed, some of them alike
+        own = [spans[3 * k + rng.randrange(3)] if rng.random() < 0.06 else base[6 * k : 6 * k + 6] for k in range(40)]
+        texts.append(" ".join(sum(own, [])))
+    fp, sets = simhash._wide_prints(*utf8(pa.array(texts)), 5, 4), [shingles(t) for t in texts]
+    other = fp[:, None] ^ fp[None]
+    met = ((other.view(np.uint8).reshape(*other.shape, 8) == 0).sum(axis=3) >= 3).any(axis=2)
+    close = np.triu(met & (np.bitwise_count(other).sum(axis=2) <= simhash.candidate_bits(0.8, 4)), 1)
+    want = components(range(150), [(i, j) for i, j in zip(*np.nonzero(close)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), longest=longest).collect()} == want
+
+
 def test_wide_lists_cut_at_any_batch():
     import pyarrow as pa
 
