@@ -148,7 +148,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int = 1, folder: str | None
     spark = prepare(docs.sparkSession)
     folder = folder or new_folder(spark, "ids")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(tasks(spark), "doc_id").sortWithinPartitions("doc_id")
-    rows = sorted(mapped(dealt, lambda b: _write(b, tokenizer, end, folder), "part int, path string, n_docs long, n_ids long").collect())
+    rows = sorted(mapped(dealt, lambda b: _write(b, tokenizer, end, folder), "part int, path string, n_docs long, n_ids long", keeps=True).collect())
     before, out = 0, []
     for _, path, n_docs, n_ids in rows:
         out.append((path, n_docs, before))

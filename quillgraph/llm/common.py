@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -79,10 +80,24 @@ def _release() -> None:
         trim(0)
 
 
-def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` that leaves no memory behind in the worker."""
+#: What a worker keeps from task to task, as loading takes long: tokenizers, by their file.
+KEPT: dict[str, object] = {}
+
+
+def _forget() -> None:
+    """Drop what an earlier stage has kept in this worker."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+        _release()
+
+
+def mapped(df: DataFrame, run, schema, keeps: bool = False) -> DataFrame:
+    """``df.mapInArrow`` that leaves no memory behind in the worker; tasks that don't use what is ``KEPT`` drop it."""
 
     def lean(batches):
+        if not keeps:
+            _forget()
         yield from run(batches)
         _release()
 

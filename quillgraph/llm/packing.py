@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048) ->
     prepare(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, fill long"
-    pieces = cut(mapped(plain, lambda b: _pieces(b, tokenizer, end, capacity), schema))
+    pieces = cut(mapped(plain, lambda b: _pieces(b, tokenizer, end, capacity), schema, keeps=True))
     loose = pieces.where((F.col("at") == 0) & (F.lit(capacity) - F.col("fill") > capacity // NEARLY))
     level = loose.select(F.col("bin").alias("base"), F.col("bin").alias("now"), F.lit(0).cast("long").alias("at"), "fill", F.shiftright("bin", 40).alias("part"))
     width, moved = loose.agg(F.max(F.shiftright("bin", 40))).first()[0], []

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import per_text, ragged, utf8, words
+from .common import KEPT, per_text, ragged, utf8, words
 
 #: Words and pieces whose ids a worker remembers, and as many of a generation before, of which those still in use move on.
 REMEMBERED = 250_000
@@ -147,14 +147,11 @@ class WordBpe:
         return ids, np.concatenate([[0], np.cumsum(per_text(size, first))])
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
 def load(path: str) -> WordBpe:
-    """The worker's tokenizer of that file, read once."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    """The worker's tokenizer of that file, read once and kept until a stage without tokenizers."""
+    if path not in KEPT:
+        KEPT[path] = WordBpe(path)
+    return KEPT[path]
 
 
 def with_end(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -307,6 +307,23 @@ def test_neighbours_odd(spark):
     assert forest.search(df.where("vec_id = 100")).count() == 0
 
 
+def test_workers_drop_tokenizers(spark, real):
+    """Workers outlive their tasks: a stage without tokenizers frees those that packing left there."""
+    from quillgraph.llm import packing
+    from quillgraph.llm.common import mapped
+
+    def left(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.record_batch([pa.array([sum(type(x).__name__ == "WordBpe" for x in gc.get_objects())])], names=["n"])
+
+    packing.pack(real, registry.vocabulary("word_bpe_49k.json")).count()
+    assert {r.n for r in mapped(spark.range(0, 32, 1, 32), left, "n long").collect()} == {0}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "SimHash near-dedup", "secret scans", "best-fit packing"]
