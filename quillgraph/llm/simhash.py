@@ -495,7 +495,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n_words: i
     # a pair that no list named lies between groups that named pairs join, of which an end has more than one
     ends = lambda df, *cs: df.select(F.explode(F.array(*cs)).alias("v"))
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    several = stored(ends(known, "a", "b").groupBy("v").count().where("count > 1").select("v"), "several")
+    of = lambda side: known.groupBy(F.col(side).alias("v")).agg(F.count("*").alias("n"))
+    several = stored(of("a").union(of("b")).groupBy("v").agg(F.sum("n").alias("n")).where("n > 1").select("v"), "several")
     failed = stored(_apart_in(pairs, parts), "apart")
     failed = failed.join(several.withColumnRenamed("v", "a"), "a", "left_semi").union(failed.join(several.withColumnRenamed("v", "b"), "b", "left_semi").select(failed.columns))
     group = classes.join(parts, "v", "left").select(F.coalesce("component", "v").alias("c"), "v", *fields)
