@@ -73,6 +73,11 @@ def test_sentences_keep_their_digits(spark):
     assert got == ["0a B.", "10.1.1.1 C!", "2 Deux2 2?", "Model X3.", "End of it 4"]
 
 
+def test_windows_keep_sentences_digits(spark):
+    got = chunking.windows(spark.createDataFrame([(0, ODD_SENTENCES)], "k long, text string"), ["k"]).collect()
+    assert [(r.first, r.last, r.text) for r in got] == [(0, 5, ODD_SENTENCES)]
+
+
 def test_bm25(spark):
     chunks = spark.createDataFrame([(0, "ospf routing protocol ospf"), (1, "bgp routing protocol"), (2, "vector search")], "chunk_ord long, text string")
     asked = spark.createDataFrame([(0, "ospf routing"), (1, "routing routing"), (2, "vector"), (3, "the of")], "query_id long, text string")
