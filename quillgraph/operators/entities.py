@@ -15,7 +15,7 @@ def mentions(chunks: DataFrame, label: str = "") -> DataFrame:
     Stands in for a model's recogniser where there is none; ``dedup_mentions``
     serves either.
     """
-    each = chunks.select("chunk_ord", F.posexplode_outer(T.names(F.col("text"))).alias("ent_pos", "text")).where("ent_pos is not null").withColumn("label", F.lit(label))
+    each = chunks.select("chunk_ord", F.posexplode_outer(T.mentioned(F.col("text"))).alias("ent_pos", "text")).where("ent_pos is not null").withColumn("label", F.lit(label))
     return dedup_mentions(each)
 
 

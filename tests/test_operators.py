@@ -73,6 +73,12 @@ def test_sentences_keep_their_digits(spark):
     assert got == ["0a B.", "10.1.1.1 C!", "2 Deux2 2?", "Model X3.", "End of it 4"]
 
 
+def test_mentions_are_whole_words(spark):
+    rows = [(0, "foo-Bar Qux-é Ab-cd-. -Abc- Abc-Def 9Qux Baz_ Xÿ"), (1, "A. B1. Model Two2"), (2, None)]
+    got = entities.mentions(spark.createDataFrame(rows, "chunk_ord long, text string")).orderBy("chunk_ord", "ent_pos").collect()
+    assert [(r.chunk_ord, r.text) for r in got] == [(0, "Ab-cd"), (0, "Abc"), (0, "Abc-Def"), (0, "Baz_"), (1, "B1"), (1, "Model"), (1, "Two2")]
+
+
 def test_windows_keep_sentences_digits(spark):
     got = chunking.windows(spark.createDataFrame([(0, ODD_SENTENCES)], "k long, text string"), ["k"]).collect()
     assert [(r.first, r.last, r.text) for r in got] == [(0, 5, ODD_SENTENCES)]
