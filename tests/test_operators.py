@@ -218,6 +218,16 @@ def test_betweenness_is_exact_above_500_nodes(spark):
     assert {v for k, v in got.items() if k not in "ab"} == {0.0}
 
 
+def test_hubs_are_exact_above_500_nodes(spark):
+    sides = [(f"h{k}", f"leaf{k}_{j}") for k in range(6) for j in range(80 + k)]
+    nodes, edges = plain(spark, [*((f"h{k}", "root") for k in range(6)), *sides])
+    got = G.hubs(nodes.join(ranking.betweenness(nodes, edges), "id"), 7).collect()
+    n = nodes.count()
+    behind = {f"h{k}": [1] * (80 + k) + [n - 1 - (80 + k)] for k in range(6)} | {"root": [81 + k for k in range(6)]}
+    want = {v: round((sum(b) ** 2 - sum(x * x for x in b)) / (n - 1) / (n - 2), 4) for v, b in behind.items()}
+    assert [(r.id, r.betweenness_centrality) for r in got] == sorted(want.items(), key=lambda x: -x[1])
+
+
 def test_betweenness_in_batches(spark, monkeypatch):
     monkeypatch.setattr(ranking, "WALKED", 40)
     circles = [(f"{c}{k}", f"{c}{(k + 1) % 5}") for c in "pq" for k in range(5)]
