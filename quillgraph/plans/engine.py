@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.functions.fixed import EXACT_NODES
 from quillgraph.operators import chunking, entities, fusion, lexical, ranking, retrieve, vectors
 from quillgraph.operators import graph as G
 from quillgraph.operators import resolve as R
@@ -45,7 +46,7 @@ def build_graph(spark: SparkSession, folder: str, fuzzy: bool = True) -> G.Graph
         key = F.coalesce("canonical", T.node_key(F.col("text")))
     graph = G.build_graph(mentions, triplets, key)
     nodes = G.number_nodes(graph.nodes)
-    nodes = nodes.join(G.degrees(graph), "id").join(ranking.betweenness(nodes, graph.edges), "id")
+    nodes = nodes.join(G.degrees(graph), "id").join(ranking.betweenness(nodes, graph.edges, EXACT_NODES), "id")
     artifacts.write_graph(G.Graph(nodes, graph.edges), folder)
     return artifacts.read_graph(spark, folder)
 
