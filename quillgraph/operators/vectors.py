@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, QUERIES = 16_384, 2_048
+#: Queries and vectors of a block whose products are held at once: 8 MB.
+SLICE, ROWS = 128, 8_192
 
 
 def normalise(vector: Column) -> Column:
@@ -33,14 +35,32 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return col.flatten().to_numpy().reshape(len(col), -1)
 
 
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each query, ties to the smaller id."""
+    order = np.lexsort((ids, -np.round(score, 9), query))
+    query = query[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], ids[order][keep], score[order][keep]
+
+
 def _block_top(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    if not queries.num_rows or not rows.num_rows:
-        parts = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    else:
-        ids, score = rows.column("chunk_ord").to_numpy(), _matrix(queries) @ _matrix(rows).T
-        rounded = np.round(score, 9)
-        order = np.lexsort((np.broadcast_to(ids, score.shape), -rounded), axis=1)[:, :k]
-        parts = [np.repeat(queries.column("query_id").to_numpy(), order.shape[1]), ids[order].ravel(), np.take_along_axis(score, order, 1).ravel()]
+    """Products are taken of ``SLICE`` queries with ``ROWS`` vectors at a time, and only those as good as the ``k``-th are sorted."""
+    found = []
+    if queries.num_rows and rows.num_rows:
+        names, asked = queries.column("query_id").to_numpy(), _matrix(queries)
+        ids, near = rows.column("chunk_ord").to_numpy(), _matrix(rows)
+        for a in range(0, len(asked), SLICE):
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for b in range(0, len(near), ROWS):
+                score = asked[a : a + SLICE] @ near[b : b + ROWS].T
+                least = np.full(len(score), -np.inf)
+                if score.shape[1] > k:
+                    least = np.partition(score, -k, axis=1)[:, -k] - 1e-9
+                # written so that values that aren't numbers stay in
+                q, r = np.nonzero(~(score < least[:, None]))
+                best = _best(*(np.concatenate(c) for c in zip(best, (q, ids[b + r], score[q, r]), strict=True)), k)
+            found.append((names[a + best[0]], *best[1:]))
+    parts = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.table({"query_id": pa.array(parts[0], pa.int64()), "chunk_ord": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
 
 

@@ -1,7 +1,10 @@
 """Goldens and properties of the operators."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +283,20 @@ def test_vectors(spark):
     asked = spark.createDataFrame([(7, [1.0, 0.5])], "query_id long, embedding array<double>")
     assert [(r.chunk_ord, r.rank) for r in vectors.search(asked, rows, 2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert vectors.search(asked, rows.where("false")).count() == 0
+
+
+def test_vector_blocks_hold_few_products(monkeypatch):
+    rng = np.random.default_rng(4)
+    near, asked = rng.integers(-3, 4, (9_000, 8)).astype(float), rng.integers(-3, 4, (600, 8)).astype(float)
+    table = lambda name, x: pa.table({name: pa.array(rng.permutation(len(x))), "x": pa.array(x.tolist())})
+    queries, rows = table("query_id", asked), table("chunk_ord", near)
+    vectors._block_top(queries.slice(0, 2), rows, 5)
+    tracemalloc.start()
+    got = vectors._block_top(queries, rows, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 * 9_000 * 8  # all products at once
+    ids, score = rows.column("chunk_ord").to_numpy(), asked @ near.T
+    names = queries.column("query_id").to_numpy()
+    want = {(int(names[q]), int(ids[r])) for q in range(600) for r in np.lexsort((ids, -score[q]))[:5]}
+    assert set(zip(got.column("query_id").to_pylist(), got.column("chunk_ord").to_pylist(), strict=True)) == want and got.num_rows == 3_000
