@@ -98,6 +98,36 @@ def test_bm25(spark):
     assert lexical.search(asked, lexical.build_index(empty)).count() == 0
 
 
+def test_bm25_hands_on_few_rows(spark, monkeypatch):
+    """Each task hands on ``k`` chunks a question, not all that have a word of it; with and without an index, in grids of any width."""
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(12)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(700)] + [None]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_ord long, text string").repartition(2)
+    asked = spark.createDataFrame([(q, " ".join(rng.choices([*words, "unknown"], k=4))) for q in range(9)], "query_id long, text string")
+    index = lexical.build_index(chunks)
+    terms, stats = {r.token: r.idf for r in index.terms.collect()}, index.stats.first()
+    want = {}
+    for q in asked.collect():
+        scored, order = [], q.text.split()
+        for c, text in enumerate(texts):
+            own = (text or "").split()
+            score = sum(terms[t] * own.count(t) * 2.5 / (own.count(t) + 1.5 * (0.25 + 0.75 * max(len(own), 1) / stats.avgdl)) for t in order if t in own)
+            if score:
+                scored.append((-round(score, 9), min(k for k, t in enumerate(order) if t in own), c))
+        want[q.query_id] = [c for *_, c in sorted(scored)[:5]]
+    for scores in (lexical.SCORES, 60, 1):
+        monkeypatch.setattr(lexical, "SCORES", scores)
+        for found in (lexical.search_chunks(asked, chunks), lexical.search(asked, index)):
+            got = {}
+            for r in found.orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append(r.chunk_ord)
+            assert got == want
+    rows = lexical._best_of_batches([pa.RecordBatch.from_pydict({"chunk_ord": list(range(90)), "dl": [1] * 90, "found": [["a"]] * 90})], [3], ["a"], [(0, 0, 1, 0)], np.ones(1), 1.0, 5)
+    assert next(rows).column("chunk_ord").to_pylist() == [0, 1, 2, 3, 4]
+    assert lexical.search_chunks(asked, chunks.where("false")).count() == 0 == lexical.search_chunks(asked.where("false"), chunks).count()
+
+
 def test_resolver():
     for first, second, same in [("apple", "apples", 0), ("abcdefghijk", "abcdefghijkl", 0), ("abcdefghijkl", "abcdefghijklm", 1), ("microsoft azure", "microsoft azur", 1), ("john smith", "jon smith", 1), ("color theory", "colour theory", 1), ("open shortest path first", "open shortest paths first", 1)]:
         r = R.Resolver()
