@@ -76,13 +76,45 @@ def mention_events(keys: DataFrame) -> DataFrame:
     return keys.select(_at(0, "chunk_ord", "ent_pos").alias("at"), "key", "text", "kind", T.chunk_id(F.col("chunk_ord")).alias("chunk_id"))
 
 
+def _pairs(keys: DataFrame) -> DataFrame:
+    """Each pair of keys in a chunk once: ``(chunk_ord, x, y, lo, hi, flip)``, ``x`` before ``y`` in the alphabet, by their places ``lo`` and ``hi``.
+
+    Chunks are short, so a chunk's pairs are few, whatever the corpus's size.
+    """
+    x = keys.select("chunk_ord", F.col("key").alias("x"), F.col("ent_pos").alias("a"))
+    y = keys.select("chunk_ord", F.col("key").alias("y"), F.col("ent_pos").alias("b"))
+    found = x.join(y, "chunk_ord").where("x < y")
+    return found.select("chunk_ord", "x", "y", F.least("a", "b").cast("long").alias("lo"), F.greatest("a", "b").cast("long").alias("hi"), (F.col("a") > F.col("b")).cast("long").alias("flip"))
+
+
+def _both_ways(pairs: DataFrame, *more: str) -> DataFrame:
+    """``pairs(x, y, chunk_ord, lo, hi, flip)`` as edges in both directions with the order ``at`` of their events."""
+    ways = F.explode(F.array(*(F.struct(F.col(s).alias("src"), F.col(d).alias("dst"), f.alias("flip")) for s, d, f in (("x", "y", F.col("flip")), ("y", "x", 1 - F.col("flip")))))).alias("way")
+    each = pairs.select("chunk_ord", "lo", "hi", *more, ways).select("chunk_ord", "lo", (F.col("hi") * 2 + F.col("way.flip")).alias("hi"), *more, "way.src", "way.dst")
+    return each.select(_at(0, "chunk_ord", "lo", "hi").alias("at"), "chunk_ord", "src", "dst", *more)
+
+
 def cooccurrence_events(keys: DataFrame) -> DataFrame:
-    """Both directions of each pair of keys in a chunk. Chunks are short, so a chunk's pairs are few, whatever the corpus's size."""
-    a = keys.select("chunk_ord", F.col("key").alias("src"), F.col("ent_pos").alias("a"))
-    b = keys.select("chunk_ord", F.col("key").alias("dst"), F.col("ent_pos").alias("b"))
-    pairs = a.join(b, "chunk_ord").where("src <> dst")
-    pairs = pairs.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b") * 2 + (F.col("a") > F.col("b")).cast("int"))
-    return pairs.select(_at(0, "chunk_ord", "lo", "hi").alias("at"), "src", "dst", F.lit(CO_OCCURS).alias("predicate"), F.lit(CO_TYPE).alias("relation_type"), T.chunk_id(F.col("chunk_ord")).alias("chunk_id"))
+    """Both directions of each pair of keys in a chunk."""
+    return _both_ways(_pairs(keys)).select("at", "src", "dst", F.lit(CO_OCCURS).alias("predicate"), F.lit(CO_TYPE).alias("relation_type"), T.chunk_id(F.col("chunk_ord")).alias("chunk_id"))
+
+
+def mention_nodes(keys: DataFrame) -> DataFrame:
+    """``merge_nodes`` for mentions alone, where a key has one event in a chunk: chunks are listed and sorted as numbers."""
+    at = F.struct("chunk_ord", "ent_pos")
+    kind = F.coalesce(F.min_by("kind", F.when(F.col("kind") != T.DEFAULT_TYPE, at)), F.lit(T.DEFAULT_TYPE))
+    one = keys.groupBy("key").agg(F.min_by("text", at).alias("label"), kind.alias("entity_type"), F.sort_array(F.collect_list("chunk_ord")).alias("seen"), F.min(at).alias("first"))
+    one = one.select("*", F.col("first.chunk_ord").alias("o"), F.col("first.ent_pos").alias("p"))
+    return one.select(F.col("key").alias("id"), "label", "entity_type", T.colour(F.col("entity_type")).alias("color"), F.transform("seen", T.chunk_id).alias("chunk_ids"), _at(0, "o", "p").alias("node_ord"))
+
+
+def mention_edges(keys: DataFrame) -> DataFrame:
+    """``merge_edges`` for mentions alone: pairs are counted once for both directions, and only the lists that are asked for are made."""
+    one = _pairs(keys).groupBy("x", "y").agg(F.count("*").alias("weight"), F.min(F.struct("chunk_ord", "lo", "hi", "flip")).alias("first"), F.sort_array(F.collect_list("chunk_ord")).alias("seen"))
+    edges = _both_ways(one.select("x", "y", "first.*", "weight", "seen"), "weight", "seen")
+    predicate = F.lit(CO_OCCURS)
+    lists = [F.array(predicate).alias("predicates"), F.array(F.lit(CO_TYPE)).alias("relation_types"), F.transform("seen", T.chunk_id).alias("chunk_ids")]
+    return edges.select("src", "dst", predicate.alias("predicate"), *lists, "weight", F.col("at").alias("edge_ord"))
 
 
 def triplet_events(triplets: DataFrame, lookup: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -107,6 +139,8 @@ def build_graph(mentions: DataFrame | None, triplets: DataFrame | None, key: Col
         lookup, keys = type_lookup(keyed), chunk_keys(keyed)
         nodes.append(mention_events(keys))
         edges.append(cooccurrence_events(keys))
+        if triplets is None:
+            return Graph(mention_nodes(keys), mention_edges(keys))
     if triplets is not None:
         n, e = triplet_events(triplets, lookup)
         nodes.append(n)
@@ -115,6 +149,15 @@ def build_graph(mentions: DataFrame | None, triplets: DataFrame | None, key: Col
     return Graph(merge_nodes(union(nodes)), merge_edges(union(edges)))
 
 
+def plain_graph(mentions: DataFrame, triplets: DataFrame) -> tuple[DataFrame, Graph]:
+    """``(seen(id, chunk_id), Graph(nodes(id), edges(src, dst, weight)))`` of ``build_graph``, without labels, types and lists, for what needs the shape alone."""
+    keys = chunk_keys(keyed_mentions(mentions))
+    n, e = triplet_events(triplets)
+    seen = keys.select(F.col("key").alias("id"), T.chunk_id(F.col("chunk_ord")).alias("chunk_id")).union(n.select("key", "chunk_id"))
+    events = _both_ways(_pairs(keys)).select("src", "dst").union(e.select("src", "dst")).where("src <> dst")
+    return seen, Graph(seen.select("id").distinct(), events.groupBy("src", "dst").agg(F.count("*").alias("weight")))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 

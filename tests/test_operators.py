@@ -251,6 +251,32 @@ def test_betweenness_is_exact_above_500_nodes(spark):
     assert {v for k, v in got.items() if k not in "ab"} == {0.0}
 
 
+def few_mentions(spark):
+    rng = random.Random(6)
+    rows = [(c, k, rng.choice(["Ada", "Bob Inc", "bob", "Cy", "Dee", "Inc."]), rng.choice(["ORG", "", "LOC"])) for c in range(40) for k in range(4)]
+    return spark.createDataFrame(rows, "chunk_ord long, ent_pos int, text string, label string")
+
+
+def test_graph_of_mentions_lists_only_what_is_asked(spark):
+    mentions = few_mentions(spark)
+    keys = G.chunk_keys(G.keyed_mentions(mentions))
+    graph, rows = G.build_graph(mentions, None), lambda df: sorted(map(str, df.collect()))
+    assert rows(graph.nodes) == rows(G.merge_nodes(G.mention_events(keys)).select(*graph.nodes.columns))
+    assert rows(graph.edges) == rows(G.merge_edges(G.cooccurrence_events(keys)).select(*graph.edges.columns))
+    plan = graph.edges.select("src", "dst", "weight", "edge_ord")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_plain_graph_has_the_shape_of_the_whole(spark):
+    mentions = few_mentions(spark)
+    triplets = spark.createDataFrame([(0, "Ada", "knows", "Bob", "t0"), (1, "Eve", "is", "eve", "t1"), (2, "Eve", "sees", "Ada", "t2")], "triplet_ord long, subject string, predicate string, object string, chunk_id string")
+    whole, (seen, plain_) = G.build_graph(mentions, triplets), G.plain_graph(mentions, triplets)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(plain_.edges) == rows(whole.edges.select("src", "dst", "weight")) and rows(plain_.nodes) == rows(whole.nodes.select("id"))
+    assert rows(seen.distinct()) == rows(whole.nodes.select("id", F.explode("chunk_ids")))
+    assert "collect_list" not in plain_.edges._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hubs_are_exact_above_500_nodes(spark):
     sides = [(f"h{k}", f"leaf{k}_{j}") for k in range(6) for j in range(80 + k)]
     nodes, edges = plain(spark, [*((f"h{k}", "root") for k in range(6)), *sides])
