@@ -21,8 +21,14 @@ class Graph:
 
 def keyed_mentions(mentions: DataFrame, key: Column | None = None) -> DataFrame:
     """Mentions with their node ``key`` (exact signatures unless a resolution gives another), without empty keys."""
-    named = mentions.withColumn("key", T.canonical(F.col("text")) if key is None else key)
-    return named.where("key <> ''").withColumn("kind", T.entity_type(F.col("label")))
+    # dealt out by chunk first, as a small file has few tasks and what follows goes by chunks
+    named = mentions.repartition("chunk_ord")
+    if key is None:
+        # an explosion of one, so that Spark doesn't push the filter below the signature and find it twice
+        named = named.withColumn("sig", F.explode(F.array(T.signature(F.col("text")))))
+        key = F.when(F.col("sig") == "", T.node_key(F.col("text"))).otherwise(F.col("sig"))
+    named = named.withColumn("key", key)
+    return named.where("key <> ''").withColumn("kind", T.entity_type(F.col("label"))).drop("sig")
 
 
 def type_lookup(keyed: DataFrame) -> DataFrame:

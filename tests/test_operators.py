@@ -267,6 +267,11 @@ def test_graph_of_mentions_lists_only_what_is_asked(spark):
     assert "collect_list" not in plan
 
 
+def test_keys_are_found_once(spark):
+    plan = G.chunk_keys(G.keyed_mentions(few_mentions(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("incorporated") == 1
+
+
 def test_plain_graph_has_the_shape_of_the_whole(spark):
     mentions = few_mentions(spark)
     triplets = spark.createDataFrame([(0, "Ada", "knows", "Bob", "t0"), (1, "Eve", "is", "eve", "t1"), (2, "Eve", "sees", "Ada", "t2")], "triplet_ord long, subject string, predicate string, object string, chunk_id string")
